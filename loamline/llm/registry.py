@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing
 from .common import read
 from .simhash import hex16, simhash_components
 
@@ -14,6 +16,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to target weights by apportioned blocks."""
+    m = mixing.mixed(read(spark, sf_dir, "documents"))
+    return m.select("doc_id", *(F.col(f"mix_{x}").alias(x) for x in ("size", "source_size", "target", "taken")))
 
-SQL: dict[str, str] = {}
+
+QUERIES = {"op1_simhash": op1_simhash, "op10_mixing": op10_mixing}
+
+SQL: dict[str, str] = {"op10_mixing": mixing.SQL}
