@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, tokenfiles
 from .common import read
 from .simhash import hex16, simhash_components
 
@@ -16,12 +16,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as ids in the token file format, read back."""
+    return tokenfiles.token_files(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to target weights by apportioned blocks."""
     m = mixing.mixed(read(spark, sf_dir, "documents"))
     return m.select("doc_id", *(F.col(f"mix_{x}").alias(x) for x in ("size", "source_size", "target", "taken")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
 SQL: dict[str, str] = {"op10_mixing": mixing.SQL}
