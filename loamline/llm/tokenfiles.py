@@ -37,7 +37,7 @@ FORMAT = {
     "compression": "zstd",
 }
 #: White space as the vocabulary's normaliser sees it (Unicode White_Space); str.split() also parts at U+001C to U+001F.
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _OTHER = re.compile("[\x1c-\x1f]")
 #: A word of Latin-1 letters, then punctuation: the vocabulary's pattern parts the two, whatever they are.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
