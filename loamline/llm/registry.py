@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, tokenfiles
+from . import mixing, tokenfiles, warczip
 from .common import read
 from .simhash import hex16, simhash_components
 
@@ -16,6 +16,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as records in ZIP packages, read back."""
+    found = warczip.archived(spark, read(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts as ids in the token file format, read back."""
     return tokenfiles.token_files(read(spark, sf_dir, "documents"))
@@ -27,6 +33,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", *(F.col(f"mix_{x}").alias(x) for x in ("size", "source_size", "target", "taken")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op6_warc": op6_warc, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
-SQL: dict[str, str] = {"op10_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op6_warc": warczip.SQL, "op10_mixing": mixing.SQL}
