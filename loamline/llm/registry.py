@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, tokenfiles, warczip
+from . import embeddings, mixing, tokenfiles, warczip
 from .common import read
 from .simhash import hex16, simhash_components
 
@@ -16,6 +16,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings of a label at cosine 0.93, with components."""
+    return embeddings.embedding_components(read(spark, sf_dir, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as records in ZIP packages, read back."""
     found = warczip.archived(spark, read(spark, sf_dir, "pages"))
@@ -33,6 +38,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", *(F.col(f"mix_{x}").alias(x) for x in ("size", "source_size", "target", "taken")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_warc": op6_warc, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op6_warc": op6_warc, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
-SQL: dict[str, str] = {"op6_warc": warczip.SQL, "op10_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op2_embeddings": embeddings.SQL, "op6_warc": warczip.SQL, "op10_mixing": mixing.SQL}
