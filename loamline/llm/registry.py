@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, tokenfiles, warczip
+from . import embeddings, mixing, syncmers, tokenfiles, warczip
 from .common import read
 from .simhash import hex16, simhash_components
 
@@ -27,6 +27,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts, of their edited texts, and their likeness."""
+    return syncmers.edited_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts as ids in the token file format, read back."""
     return tokenfiles.token_files(read(spark, sf_dir, "documents"))
@@ -38,6 +43,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", *(F.col(f"mix_{x}").alias(x) for x in ("size", "source_size", "target", "taken")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op6_warc": op6_warc, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op6_warc": op6_warc, "op8_syncmers": op8_syncmers, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
 SQL: dict[str, str] = {"op2_embeddings": embeddings.SQL, "op6_warc": warczip.SQL, "op10_mixing": mixing.SQL}
