@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, mixing, syncmers, tokenfiles, warczip
-from .common import read
+from . import embeddings, langid, mixing, pieces, syncmers, tokenfiles, toxicity, warczip
+from .common import held_out, read
 from .simhash import hex16, simhash_components
 
 
@@ -21,6 +21,26 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.embedding_components(read(spark, sf_dir, "embeddings"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    docs = read(spark, sf_dir, "documents")
+    found = langid.identified(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text, with the number of offending sentences and the first."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    first = F.try_element_at("offending", F.lit(1))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"), first["start"].alias("first_start"), first["end"].alias("first_end"))
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as pieces, and back."""
+    return pieces.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as records in ZIP packages, read back."""
     found = warczip.archived(spark, read(spark, sf_dir, "pages"))
@@ -43,6 +63,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", *(F.col(f"mix_{x}").alias(x) for x in ("size", "source_size", "target", "taken")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op6_warc": op6_warc, "op8_syncmers": op8_syncmers, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op8_syncmers": op8_syncmers, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
 SQL: dict[str, str] = {"op2_embeddings": embeddings.SQL, "op6_warc": warczip.SQL, "op10_mixing": mixing.SQL}

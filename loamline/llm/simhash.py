@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, grouped, local_labels, written
+from .common import components, extended, grouped, local_labels, written
 
 SEED, TREE = 42, 2048
 #: Expected rows of a shard beyond which one more block is cut.
@@ -50,7 +50,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id_col, fp long) per row. A null or empty text, or one of white space only, has fingerprint zero."""
-    schema = docs.select(id_col).schema.add("fp", "long")
+    schema = extended(docs.select(id_col), "fp long")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
