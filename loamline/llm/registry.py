@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, pieces, syncmers, tokenfiles, toxicity, warczip
+from . import embeddings, langid, linededup, mixing, pieces, syncmers, tokenfiles, toxicity, warczip
 from .common import held_out, read
 from .simhash import hex16, simhash_components
 
@@ -47,6 +47,12 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that are near an earlier line."""
+    found = linededup.line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.col("dedup_n_lines").alias("n_lines"), F.col("dedup_n_removed").alias("n_removed"))
+
+
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all texts, of their edited texts, and their likeness."""
     return syncmers.edited_fingerprints(read(spark, sf_dir, "documents"))
@@ -63,6 +69,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", *(F.col(f"mix_{x}").alias(x) for x in ("size", "source_size", "target", "taken")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op8_syncmers": op8_syncmers, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
 
-SQL: dict[str, str] = {"op2_embeddings": embeddings.SQL, "op6_warc": warczip.SQL, "op10_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op2_embeddings": embeddings.SQL, "op6_warc": warczip.SQL, "op7_line_dedup": linededup.SQL, "op10_mixing": mixing.SQL}
