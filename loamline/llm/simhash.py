@@ -112,16 +112,32 @@ def shard_keys(fp, radius: int, n: int) -> list:
     return keys
 
 
-def dealt(distinct: DataFrame, radius: int) -> DataFrame:
-    """Rows (shard, fp, asks, in_tree) of the distinct fingerprints fp, each shard of bounded size: a large one is cut
-    into pieces, and each two pieces meet in a shard of their own, where one is the tree and the other asks."""
-    n = distinct.count()
-    keyed = distinct.select("fp", F.explode(F.array(*shard_keys("fp", radius, n))).alias("k"))
+def dealt(keyed: DataFrame, member: str) -> DataFrame:
+    """keyed (k and further columns) as rows with shard, asks and in_tree, each shard of bounded size: a large k is cut
+    into pieces by the member column, and each two pieces meet in a shard of their own, where one is the tree and the
+    other asks."""
     large = keyed.groupBy("k").count().where(F.col("count") > TREE).select("k", F.ceil(F.col("count") / TREE).cast("int").alias("pieces"))
-    cut = keyed.join(large, "k", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    cut = keyed.join(large, "k", "left").withColumn("own", F.pmod(F.xxhash64(member), F.coalesce("pieces", F.lit(1))).cast("int"))
     met = cut.withColumn("other", F.explode(F.expr("sequence(0, coalesce(pieces, 1) - 1)")))
     a, b = F.least("own", "other"), F.greatest("own", "other")
-    return met.select(F.xxhash64("k", a, b).alias("shard"), "fp", (F.col("own") == b).alias("asks"), (F.col("own") == a).alias("in_tree"))
+    rest = [c for c in keyed.columns if c != "k"]
+    return met.select(F.xxhash64("k", a, b).alias("shard"), *rest, (F.col("own") == b).alias("asks"), (F.col("own") == a).alias("in_tree"))
+
+
+def near_pairs(t: pa.Table, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within the radius in a table of whole shards (shard, fp, asks, in_tree): a BK-tree for each shard."""
+    shard, fp = t.column("shard").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+    asks, tree = (t.column(x).to_numpy(zero_copy_only=False) for x in ("asks", "in_tree"))
+    _, number = np.unique(shard, return_inverse=True)
+    nodes = np.flatnonzero(tree)
+    root = np.full(number.max() + 1, len(fp))
+    np.minimum.at(root, number[nodes], nodes)
+    first = np.arange(len(fp))
+    first[nodes] = root[number[nodes]]
+    forest = bk_forest(fp, first)
+    query = np.flatnonzero(asks & (root[number] < len(fp)))
+    for some in np.array_split(query, max(1, len(query) // 4096)):
+        yield from bk_search(fp, forest, some, root[number[some]], radius)
 
 
 def links(distinct: DataFrame, radius: int) -> DataFrame:
@@ -131,24 +147,16 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(stream, "shard", 20_000):
-            shard, fp = t.column("shard").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-            asks, tree = (t.column(x).to_numpy(zero_copy_only=False) for x in ("asks", "in_tree"))
-            _, number = np.unique(shard, return_inverse=True)
-            nodes = np.flatnonzero(tree)
-            root = np.full(number.max() + 1, len(fp))
-            np.minimum.at(root, number[nodes], nodes)
-            first = np.arange(len(fp))
-            first[nodes] = root[number[nodes]]
-            query = np.flatnonzero(asks & (root[number] < len(fp)))
+            fp = t.column("fp").to_numpy()
             lab = np.arange(len(fp))
-            forest = bk_forest(fp, first)
-            for some in np.array_split(query, max(1, len(query) // 4096)):
-                for a, b in bk_search(fp, forest, some, root[number[some]], radius):
-                    lab = local_labels(len(fp), a, b, lab)
+            for a, b in near_pairs(t, radius):
+                lab = local_labels(len(fp), a, b, lab)
             own = lab != np.arange(len(fp))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[own].view(np.int64)), pa.array(fp[lab[own]].view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(fp[lab[own]])], schema=schema)
 
-    return dealt(distinct, radius).repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "src long, dst long")
+    n = distinct.count()
+    keyed = distinct.select("fp", F.explode(F.array(*shard_keys("fp", radius, n))).alias("k"))
+    return dealt(keyed, "fp").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "src long, dst long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -167,5 +175,96 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def _sketches(docs: DataFrame, width: int, keys: int) -> DataFrame:
+    """(doc, tie, cls, fp, mins) of docs (doc, tie, text): a hash of the set of shingles, the fingerprint, and for each
+    of `keys` permutations the least shingle hash."""
+    odd = np.random.default_rng(SEED).integers(1, 1 << 63, keys, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            rows = []
+            for text in batch.column(2):
+                h = shingle_hashes(text.as_py(), width)
+                each = np.unique(h)
+                cls = np.add.reduce(mixed(each)) + np.uint64(len(each))
+                mins = [int(mixed(each * k).min().view(np.int64)) for k in odd] if len(each) else []
+                rows.append((int(cls.view(np.int64)), majority(h), mins))
+            c, fp, mins = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c, pa.int64()), pa.array(fp, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], names=["doc", "tie", "cls", "fp", "mins"])
+
+    return docs.mapInArrow(run, "doc long, tie long, cls long, fp long, mins array<long>")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 20, keys: int = 8) -> DataFrame:
+    """docs with one document of each group of near-duplicates: the one with the smallest id. Documents are linked if
+    the sets of their `width`-word shingles have Jaccard similarity of at least `similarity`, and groups are what links
+    connect.
+
+    Pairs are found by BK-trees over SimHash fingerprints; a radius as wide as such pairs are apart would reach most of
+    a bit-block shard, so here a shard holds the documents that share the least shingle hash of one of `keys`
+    permutations (a pair at 0.8 misses all eight in 3 of a million cases, and 20 bits in fewer than 1 of 2000). The
+    pairs found are verified on the shingles themselves, up to a spanning forest of each shard.
+
+    Texts that are null, empty or white space are each other's copies. Null ids come last; rows equal in id and text are
+    one document, and stay or go together. Columns of docs stay as they are."""
+    last = (1 << 63) - 1
+    keyed_ = {"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(last)), "_tie": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+    source = docs.withColumns(keyed_).select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), F.col(text_col).alias("text"))
+    prints = written(_sketches(source, width, keys), "sketches")
+    classes = written(prints.groupBy("cls").agg(F.min(F.struct("doc", "tie", "fp", "mins")).alias("f")).select("cls", "f.*"), "classes")
+    keyed = classes.select("cls", "fp", F.posexplode("mins").alias("i", "m")).select("cls", "fp", F.xxhash64("i", "m").alias("k"))
+    rows = dealt(keyed, "cls")
+
+    def involved(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(stream, "shard", 20_000):
+            found = np.zeros(t.num_rows, bool)
+            for a, b in near_pairs(t, radius):
+                found[a[a != b]] = found[b[a != b]] = True
+            yield from t.filter(pa.array(found)).combine_chunks().to_batches()
+
+    pairs = written(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(involved, rows.schema), "pairs")
+    need = classes.select("cls", "doc", "tie").join(pairs.select("cls").distinct(), "cls", "left_semi")
+    texts = source.join(need, ["doc", "tie"]).select("cls", "text").dropDuplicates(["cls"])
+
+    def shingled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            for cls, text in zip(b.column(0), b.column(1)):
+                each = np.unique(shingle_hashes(text.as_py(), width)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([cls.as_py()], pa.int64()), pa.array([each], pa.list_(pa.int64()))], names=["cls", "shingles"])
+
+    sets = texts.mapInArrow(shingled, "cls long, shingles array<long>")
+
+    def verified(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(stream, "shard", 2_000):
+            lab, cls, column, got, edges = np.arange(t.num_rows), t.column("cls").to_numpy(), t.column("shingles"), {}, []
+            for a, b in near_pairs(t, radius):
+                for x, y in zip(a.tolist(), b.tolist()):
+                    if lab[x] == lab[y]:
+                        continue
+                    for r in (x, y):
+                        if r not in got:
+                            got[r] = np.array(column[r].values)
+                    both = len(np.intersect1d(got[x], got[y], assume_unique=True))
+                    if both >= similarity * (len(got[x]) + len(got[y]) - both) - 1e-9:
+                        lab[lab == max(lab[x], lab[y])] = min(lab[x], lab[y])
+                        edges.append((cls[x], cls[y]))
+            if edges:
+                src, dst = zip(*edges)
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    checked = pairs.join(sets, "cls")
+    joined = components(checked.repartition("shard").sortWithinPartitions("shard").mapInArrow(verified, "src long, dst long"))
+    named = classes.select("cls", "doc", "tie").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    stays = named.groupBy("component").agg(F.min(F.struct("doc", "tie")).alias("first"))
+    stays = written(named.join(stays, "component").select("cls", "first"), "stays")
+    gone = prints.join(stays, "cls").where(F.col("first") != F.struct("doc", "tie")).select("doc", "tie").distinct()
+    d = docs.withColumns(keyed_)
+    return d.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_tie") == F.col("tie")), "left_anti").select(*docs.columns)
+
+
 def hex16(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
