@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import queries_catalog, queries_search, queries_text
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+for _module in (queries_search, queries_text, queries_catalog):
+    for _name, (_query, _sql) in _module.QUERIES.items():
+        QUERIES[_name] = _query
+        if _sql:
+            SQL[_name] = _sql
