@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Fixed values of the formats that are read and written.
 CLIP_MARK = "\n[...해당 페이지 본문 길이 초과로 일부 생략...]"
@@ -46,7 +47,7 @@ def page_text(c: Column) -> Column:
     return F.coalesce(strip(nul_free(c)), F.lit(""))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalised(s: pd.Series) -> pd.Series:
     """Compatibility-composed, then composed, Unicode."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", unicodedata.normalize("NFKC", x)))
