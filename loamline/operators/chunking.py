@@ -192,7 +192,7 @@ def numbered(chunks: DataFrame, file_cols: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*file_cols)
     c = chunks.withColumns({"chunk_index": F.row_number().over(w.orderBy(*order)) - 1, "total_chunks": F.count("*").over(w).cast("int")})
     c = c.withColumn("id", F.sha2(F.concat_ws("\u0001", *file_cols, F.col("chunk_index").cast("string")), 256))
-    own = [F.col(x).try_cast("int") + (x == "page") for x in ("page_number", "page") if x in chunks.columns]
+    own = [F.col(x).try_cast("int") + int(x == "page") for x in ("page_number", "page") if x in chunks.columns]
     return c.withColumns({"content_length": F.length("content"), "page_number": F.coalesce(*own, F.col("chunk_index") + 1)})
 
 
