@@ -2,7 +2,7 @@
 
 Targets: the sources, in code point order and null last, weigh 3, 1, 2 and so on in turn and share 150 % of all words;
 a target stops at twice its source's size and the excess goes to the others by weight. Blocks of BLOCK words are
-apportioned to the sources, then each source's quota to its shards, by highest quotients. Inside a shard the
+apportioned to the sources below their cap, then each source's quota to its shards, by highest quotients. Inside a shard the
 documents' blocks are ordered by a seeded digest and taken up to the quota; where the quota exceeds the shard's size,
 every word is taken once and the blocks chosen are taken again. A shard has about SHARD blocks, so that no source is
 one task; what is chosen there comes down to one digest, up to which blocks are taken.
@@ -78,7 +78,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     d = written(docs.select(F.col(source_col).alias("source"), size.alias("size"), blocks.alias("blocks"), digest.alias("digest")), "mix")
     s = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("blocks").alias("_blocks"))
     t = targets(s.select("source", "source_size"))
-    t = apportioned(t.withColumn("seats", F.round(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long")), [], "ix", "target", "seats")
+    # a source at its cap is taken MOST times whole; blocks are apportioned among the others
+    t = t.withColumn("share", F.when(F.col("target") < MOST * F.col("source_size"), F.col("target")).otherwise(0.0))
+    t = apportioned(t.withColumn("seats", F.round(F.sum("share").over(Window.partitionBy()) / BLOCK).cast("long")), [], "ix", "share", "seats")
     t = t.withColumnRenamed("quota", "source_quota").withColumn("source_", F.col("source")).drop("seats", "source")
     t = t.join(s.select(F.col("source").alias("s"), "_blocks"), F.col("source_").eqNullSafe(F.col("s"))).drop("s")
     t = t.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("_blocks") / SHARD)).cast("long")).drop("_blocks")
@@ -86,7 +88,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     dealt = d.join(t.select("ix", "source_", "shards"), F.col("source").eqNullSafe(F.col("source_"))).select("ix", _shard(F.col("digest"), F.col("shards")).alias("shard"), "size", "blocks", "digest")
     shards = dealt.groupBy("ix", "shard").agg(F.sum("size").alias("shard_size")).join(t, "ix")
     q = apportioned(shards, ["ix"], "shard", "shard_size", "source_quota")
-    take = F.least(F.col("quota") * BLOCK, MOST * F.col("shard_size"))
+    take = F.when(F.col("share") > 0, F.least(F.col("quota") * BLOCK, MOST * F.col("shard_size"))).otherwise(MOST * F.col("shard_size"))
     q = q.withColumn("whole", (take >= F.col("shard_size")).cast("long")).withColumn("rest", take - F.col("whole") * F.col("shard_size"))
     q = written(q, "mix")
     b = dealt.where("blocks > 0").join(q.select("ix", "shard", "rest").where("rest > 0"), ["ix", "shard"])
@@ -143,22 +145,23 @@ s2 AS (SELECT *, coalesce(sum(2 * source_size) OVER b, 0)::BIGINT AS under, coal
        FROM s1 WINDOW b AS (ORDER BY source_size::DOUBLE / weight, ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, max((all_size * 1.5::DOUBLE - under) / (all_weight - used)) OVER () AS level FROM s2),
 s4 AS (SELECT ix, source, source_size, least((2 * source_size)::DOUBLE, level * weight) AS target, greatest(1, (blocks + 65535) // 65536) AS shards FROM s3),
-s5 AS (SELECT *, round(sum(target) OVER () / 32)::BIGINT AS seats, sum(target) OVER () AS t_all, count(*) OVER () AS n FROM s4),
-s6 AS (SELECT *, CASE WHEN t_all > 0 THEN target / t_all ELSE 0 END AS p FROM s5),
+s45 AS (SELECT *, CASE WHEN target < 2 * source_size THEN target ELSE 0.0::DOUBLE END AS share FROM s4),
+s5 AS (SELECT *, round(sum(share) OVER () / 32)::BIGINT AS seats, sum(share) OVER () AS t_all, count(*) OVER () AS n FROM s45),
+s6 AS (SELECT *, CASE WHEN t_all > 0 THEN share / t_all ELSE 0 END AS p FROM s5),
 s7 AS (SELECT *, greatest(0, floor(p * seats - p * n / 2 - 1))::BIGINT AS low, ceil(p * seats + p * n / 2 + 1)::BIGINT AS high FROM s6),
 s8 AS (SELECT *, seats - sum(low) OVER () AS rest FROM s7),
 s9 AS (SELECT *, unnest(range(low + 1, greatest(low + 1, high) + 1)) AS k FROM s8),
-s10 AS (SELECT *, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, ix, k) AS rank FROM s9),
-q AS (SELECT ix, source, source_size, target, shards, (min(low) + count(*) FILTER (WHERE rank <= rest AND target > 0))::BIGINT AS quota FROM s10 GROUP BY ALL),
-e AS (SELECT d.*, q.ix, q.source_size, q.target, q.quota, ('0x' || substr(digest, 1, 8))::BIGINT % shards AS shard FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-h0 AS (SELECT ix, shard, quota AS seats, sum(size)::BIGINT AS shard_size FROM e GROUP BY ix, shard, quota),
+s10 AS (SELECT *, row_number() OVER (ORDER BY share / (2 * k - 1) DESC, ix, k) AS rank FROM s9),
+q AS (SELECT ix, source, source_size, target, share, shards, (min(low) + count(*) FILTER (WHERE rank <= rest AND share > 0))::BIGINT AS quota FROM s10 GROUP BY ALL),
+e AS (SELECT d.*, q.ix, q.source_size, q.target, q.share, q.quota, ('0x' || substr(digest, 1, 8))::BIGINT % shards AS shard FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+h0 AS (SELECT ix, shard, share, quota AS seats, sum(size)::BIGINT AS shard_size FROM e GROUP BY ix, shard, share, quota),
 h1 AS (SELECT *, sum(shard_size::DOUBLE) OVER (PARTITION BY ix) AS t_all, count(*) OVER (PARTITION BY ix) AS n FROM h0),
 h2 AS (SELECT *, CASE WHEN t_all > 0 THEN shard_size::DOUBLE / t_all ELSE 0 END AS p FROM h1),
 h3 AS (SELECT *, greatest(0, floor(p * seats - p * n / 2 - 1))::BIGINT AS low, ceil(p * seats + p * n / 2 + 1)::BIGINT AS high FROM h2),
 h4 AS (SELECT *, seats - sum(low) OVER (PARTITION BY ix) AS left_ FROM h3),
 h5 AS (SELECT *, unnest(range(low + 1, greatest(low + 1, high) + 1)) AS k FROM h4),
 h6 AS (SELECT *, row_number() OVER (PARTITION BY ix ORDER BY shard_size::DOUBLE / (2 * k - 1) DESC, shard, k) AS rank FROM h5),
-h7 AS (SELECT ix, shard, shard_size, least((min(low) + count(*) FILTER (WHERE rank <= left_ AND shard_size > 0))::BIGINT * 32, 2 * shard_size) AS take FROM h6 GROUP BY ix, shard, shard_size),
+h7 AS (SELECT ix, shard, shard_size, CASE WHEN share = 0 THEN 2 * shard_size ELSE least((min(low) + count(*) FILTER (WHERE rank <= left_ AND shard_size > 0))::BIGINT * 32, 2 * shard_size) END AS take FROM h6 GROUP BY ix, shard, share, shard_size),
 h8 AS (SELECT *, (take >= shard_size)::BIGINT AS whole, take - (take >= shard_size)::BIGINT * shard_size AS rest FROM h7),
 b0 AS (SELECT ix, shard, size, digest, unnest(range(0, (size + 31) // 32)) AS b FROM e),
 b1 AS (SELECT ix, shard, digest, least(32, size - b * 32)::BIGINT AS words, substr(md5(digest || '|' || b::VARCHAR), 1, 16) AS key FROM b0),
