@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.llm import langid, linededup, mixing, pieces, simhash
-from loamline.llm.common import read, shared_dir
+from loamline.llm.common import new_path, read
 
 #: Pooled probability of its language below which a document is rejected.
 SURE = 0.4
@@ -57,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written as Parquet in the shared folder and read again by the next."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/loamline/{name}-{uuid.uuid4().hex}"
+        path = new_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

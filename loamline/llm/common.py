@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -31,9 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once as a table in the shared folder and read back. It cuts the
     lineage: a lost executor costs a read, and an expensive or side-effecting stage runs once."""
-    path = f"{shared_dir(df.sparkSession)}/loamline/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which goes when this driver program ends."""
+    path = f"{shared_dir(spark)}/loamline/{name}-{uuid.uuid4().hex}"
+    atexit.register(_deleted, spark, path)
+    return path
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def released(spark: SparkSession) -> None:

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir
+from .common import new_path
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 #: Distinct words whose ids a Python worker keeps; others are encoded again when they come.
@@ -145,6 +144,6 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
 def token_files(docs: DataFrame, **options) -> DataFrame:
     """`write` to a new folder in the shared one, then `read_back`."""
-    path = f"{shared_dir(docs.sparkSession)}/loamline/tokens-{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, "tokens")
     write(docs, path, **options)
     return read_back(docs.sparkSession, path)

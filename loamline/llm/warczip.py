@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, shared_dir, written
+from .common import batches, new_path, written
 
 PACKAGE, LEVEL, READ = 32 << 20, 1, 1 << 20
 RECORDS, INDEX = "records.warc.gz", "index.cdx"
@@ -237,7 +237,7 @@ def scan(packages: DataFrame, payloads: bool = False) -> DataFrame:
 
 def archived(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
     """`write` to a new folder in the shared one, then `scan`, with the ids in their own type."""
-    packages = write(pages, f"{shared_dir(spark)}/loamline/warc-{uuid.uuid4().hex}", id_col=id_col, **options)
+    packages = write(pages, new_path(spark, "warc"), id_col=id_col, **options)
     kind = pages.schema[id_col].dataType
     found = scan(packages)
     return found.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
