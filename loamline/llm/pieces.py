@@ -21,7 +21,7 @@ from .common import extended
 
 MODEL, MARK, UNKNOWN = "piece_bpe_32k.model", "▁", 10.0
 #: Words whose ids a worker keeps, and the longest of them.
-CACHE, LONGEST = 500_000, 64
+CACHE, LONGEST = 200_000, 64
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 _models: dict[str, Pieces] = {}
@@ -149,6 +149,18 @@ def decoded(rows: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip) per row: the ids of the whole text (null: empty) and whether they decode to it."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = decoded(encoded(d, model=model), model=model)
-    same = F.col("decoded") == F.translate("text", MARK, " ")
-    return both.select("doc_id", F.size("piece_ids").cast("long").alias("n_tokens"), F.col("piece_ids").alias("ids"), same.alias("round_trip"))
+    id_type = d.schema["doc_id"].dataType.simpleString()
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # both ways in one worker, which holds one model
+        pieces = Pieces.of(model)
+        for whole in stream:
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                texts = batch.column(1).to_pylist()
+                ids = [np.frombuffer(pieces.encode(t), "<i4") for t in texts]
+                same = [pieces.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
+                n = np.array([len(i) for i in ids], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), lists, pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return d.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids array<int>, round_trip boolean")
