@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -54,8 +55,10 @@ def _deleted(spark: SparkSession, path: str) -> None:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of what is no longer referenced; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # what one collection frees lets go of more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def extended(df: DataFrame, ddl: str) -> StructType:

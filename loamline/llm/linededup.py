@@ -1,9 +1,9 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words. Lines with equal sets collapse to one class, whose first occurrence stands for it. The
-tokens of a class are ordered by rarity (counts over all documents, in BUCKETS buckets of token hashes). Two sets of
+tokens of a class are ordered by rarity (how many documents hold them, in BUCKETS buckets of token hashes). Two sets of
 Jaccard similarity t or more share a token among the first n - ceil(t n) + 1 of each, so classes meet in blocks of one
-prefix token and one length range of the smaller set. There the length filter, the positional filter (what is left after
+prefix token, in order of size. There the length filter, the positional filter (what is left after
 the shared token must reach the overlap) and a bitmap filter (differing bits bound differing tokens) leave few pairs,
 whose members' token sets are then fetched and verified. What matches an earlier line is removed. Blocks of common
 tokens are cut into pieces that meet two by two, and no pair leaves its task.
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain
-from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, released, written
+from .common import grouped, local_labels, released, written
 
 SIMILARITY, LEAST = 0.8, 5
-BUCKETS, PIECE, BITMAP = 1 << 18, 4096, 1 << 26
+BUCKETS, PIECE, BITMAP = 1 << 20, 4096, 1 << 26
 LAST = (1 << 63) - 1
 
 
@@ -57,11 +56,17 @@ class Lines:
         return _mixed(np.add.reduceat(_mixed(self.h), self.start) + self.n.astype(np.uint64)).view(np.int64)
 
     def bitmaps(self) -> np.ndarray:
-        return np.bitwise_or.reduceat(np.uint64(1) << (self.h >> np.uint64(58)), self.start).view(np.int64)
+        """For each line a bit for each 64th of the hashes: the parity of its tokens there. What two lines share cancels
+        out, so their bitmaps differ in no more bits than the lines do in tokens."""
+        return np.bitwise_xor.reduceat(np.uint64(1) << (self.h >> np.uint64(58)), self.start).view(np.int64)
 
     def prefixes(self, rank: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
         """The low 32 bits of the rarest tokens of each line, in order of rarity, and their offsets."""
-        order = np.lexsort((self.h, rank[(self.h & np.uint64(BUCKETS - 1)).astype(np.int64)], self.line))
+        place = rank[(self.h & np.uint64(BUCKETS - 1)).astype(np.int64)]
+        key = (self.line.astype(np.uint64) << np.uint64(44)) | (place.astype(np.uint64) << np.uint64(24)) | (self.h >> np.uint64(40))
+        order = np.argsort(key)
+        if len(self.n) >= 1 << 20 or (np.diff(key[order]) == 0).any():  # the key is too short to tell all apart
+            order = np.lexsort((self.h, place, self.line))
         place = np.arange(len(order)) - self.start[self.line]
         size = self.n - np.ceil(t * self.n - 1e-9).astype(np.int64) + 1
         kept = order[place < size[self.line]]
@@ -72,15 +77,16 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
 
 
-def token_counts(docs: DataFrame, text_col: str, least: int) -> np.ndarray:
-    """Lines that hold a token of each bucket, over all documents."""
+def token_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How many documents hold a token of each bucket."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for whole in stream:
-            for low in range(0, whole.num_rows, 256):
-                lines = Lines(whole.slice(low, 256).column(0).to_pylist(), least)
-                counts += np.bincount((lines.h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        for batch in stream:
+            for text in batch.column(0):
+                words = set((text.as_py() or "").encode("utf-8", "replace").split())
+                h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                np.add.at(counts, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["bucket", "n"])
 
@@ -115,64 +121,71 @@ def _lines(source: DataFrame, counts: np.ndarray, t: float, least: int) -> DataF
 
 
 def _blocks(classes: DataFrame, t: float) -> DataFrame:
-    """Rows (shard, side, k, i, cls, n, sig): a class in each block of a prefix token and a length range k of the
-    smaller set. side: 2 meets all of its shard; 0 and 1, the pieces of a large block, meet each other."""
-    base = log(1 / t)
-    span = lambda n: F.floor(F.log(n) / F.lit(base) + F.lit(1e-9)).cast("int")
-    p = classes.select("cls", "n", "sig", F.posexplode(F.arrays_zip("prefix", "hot")).alias("i", "x")).select("cls", "n", "sig", "i", "x.prefix", "x.hot")
-    # the partner's size at which what is left of this set after position i just reaches the overlap
-    most = F.least(F.col("n").cast("double"), F.lit((1 + t) / t) * (F.col("n") - F.col("i")) - F.col("n") + F.lit(1e-6))
-    fewest = F.lit(t) * F.col("n") - F.lit(1e-6)
-    p = p.where(most >= fewest).withColumn("k", F.explode(F.sequence(span(F.greatest(F.lit(1.0), fewest)), span(most))))
-    p = p.select(F.xxhash64("prefix", "k").alias("block"), "k", "i", "cls", "n", "sig", "hot")
-    large = p.where("hot").groupBy("block").count().where(F.col("count") > PIECE).select("block", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
-    p = p.join(large, "block", "left").withColumn("own", F.pmod(F.xxhash64("cls"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    """Rows (shard, id, meta, sig): a class in each block of a prefix token. meta holds size, position and side: 2 meets
+    all of its shard; 0 and 1, the pieces of a large block, meet each other. Shards whose hashes collide only share a
+    few more pairs that the filters see."""
+    p = classes.select("id", "n", "sig", F.posexplode(F.arrays_zip("prefix", "hot")).alias("i", "x")).select("id", "n", "sig", "i", "x.prefix", "x.hot")
+    large = p.where("hot").groupBy("prefix").count().where(F.col("count") > PIECE).select("prefix", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
+    p = p.join(large, "prefix", "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int"))
     p = p.withColumn("other", F.explode(F.expr("sequence(0, coalesce(pieces, 1) - 1)")))
     a, b = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(a == b, 2).when(F.col("own") == a, 0).otherwise(1)
-    return p.select(F.xxhash64("block", a, b).alias("shard"), side.cast("int").alias("side"), "k", "i", "cls", "n", "sig")
+    meta = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 2) + side
+    shard = F.when(F.col("pieces").isNull(), F.col("prefix")).otherwise(F.hash("prefix", a, b))
+    return p.select(shard.alias("shard"), "id", meta.alias("meta"), "sig")
+
+
+def _columns(t: pa.Table) -> dict[str, np.ndarray]:
+    c = {k: t.column(k).to_numpy() for k in ("shard", "id", "sig", "meta")}
+    return c | {"n": c["meta"] >> 32, "i": (c["meta"] >> 2) & ((1 << 30) - 1), "side": c["meta"] & 3}
 
 
 def candidates(c: dict[str, np.ndarray], t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one shard (sorted by shard) that pass the length, positional and bitmap filters."""
-    rows, base, d = np.arange(len(c["shard"])), log(1 / t), 1
+    """Pairs of rows of one shard (sorted by shard and size) that pass the length, positional and bitmap filters."""
+    rows, d = np.arange(len(c["shard"])), 1
     while True:
         rows = rows[rows + d < len(c["shard"])]
-        rows = rows[c["shard"][rows] == c["shard"][rows + d]]
+        # sizes rise, so a row whose partner is too long has no further one
+        rows = rows[(c["shard"][rows] == c["shard"][rows + d]) & (c["n"][rows] >= t * c["n"][rows + d] - 1e-9)]
         if not len(rows):
             return
         x, y = rows, rows + d
-        nx, ny = c["n"][x].astype(np.int64), c["n"][y].astype(np.int64)
-        need = np.ceil(t / (1 + t) * (nx + ny) - 1e-9).astype(np.int64)
-        ok = np.minimum(nx - c["i"][x], ny - c["i"][y]) >= need
-        small, sides = np.minimum(nx, ny), c["side"][x] + c["side"][y]
-        ok &= (small >= t * np.maximum(nx, ny) - 1e-9) & (np.floor(np.log(small) / base + 1e-9) == c["k"][x])
-        ok &= ((sides == 4) | ((sides == 1) & (c["side"][x] != 2) & (c["side"][y] != 2))) & (c["cls"][x] != c["cls"][y])
-        x, y, slack = x[ok], y[ok], (nx + ny - 2 * need)[ok]
+        both = c["n"][x] + c["n"][y]
+        need = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+        ok = np.minimum(c["n"][x] - c["i"][x], c["n"][y] - c["i"][y]) >= need
+        sides = c["side"][x] + c["side"][y]
+        ok &= ((sides == 4) | ((sides == 1) & (c["side"][x] != 2) & (c["side"][y] != 2))) & (c["id"][x] != c["id"][y])
+        x, y, slack = x[ok], y[ok], (both - 2 * need)[ok]
         near = np.bitwise_count(c["sig"][x].view(np.uint64) ^ c["sig"][y].view(np.uint64)) <= slack
         yield x[near], y[near]
         d += 1
 
 
-_COLUMNS = ("shard", "side", "k", "i", "cls", "n", "sig")
-
-
-def _columns(t: pa.Table) -> dict[str, np.ndarray]:
-    return {k: t.column(k).to_numpy() for k in _COLUMNS}
-
-
 def _involved(blocks: DataFrame, t: float) -> DataFrame:
-    """The rows of blocks that are in a candidate pair."""
+    """Rows (shard, id, meta, sig) of the classes that are in a candidate pair; here a shard is a cluster of pairs within a
+    block, called by its least id. A cluster comes out of each block that its members share, and once remains."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(stream, "shard", 50_000):
             c = _columns(table)
-            found = np.zeros(len(c["shard"]), bool)
-            for x, y in candidates(c, t):
-                found[x] = found[y] = True
-            yield from table.filter(pa.array(found)).combine_chunks().to_batches()
-
-    return blocks.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, blocks.schema)
+            lab, held, many = np.arange(len(c["shard"])), [], 0
+            for pair in candidates(c, t):
+                held.append(pair)
+                many += len(pair[0])
+                if many > 1 << 20:
+                    lab, held, many = local_labels(len(lab), *map(np.concatenate, zip(*held)), lab), [], 0
+            if many:
+                lab = local_labels(len(lab), *map(np.concatenate, zip(*held)), lab)
+            found = np.flatnonzero(np.bincount(lab, minlength=len(lab))[lab] > 1)
+            if not len(found):
+                continue
+            least = np.full(len(lab), LAST)
+            np.minimum.at(least, lab[found], c["id"][found])
+            rows = np.unique(np.stack([least[lab[found]], c["id"][found], (c["n"][found] << 32) + 2, c["sig"][found]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.T.copy()], names=["shard", "id", "meta", "sig"])
+
+    found = blocks.repartition("shard").sortWithinPartitions("shard", "meta").mapInArrow(run, "shard long, id long, meta long, sig long")
+    return found.distinct()
 
 
 def _places(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -181,7 +194,7 @@ def _places(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _tokens(source: DataFrame, need: DataFrame, least: int) -> DataFrame:
-    """(cls, doc, tie, line, tokens) of the lines of need (cls, doc, tie, line). The documents are read once more; a
+    """(id, doc, tie, line, tokens) of the lines of need (id, doc, tie, line). The documents are read once more; a
     bitmap of fixed size tells which lines may be wanted, and the join which are."""
 
     def mark(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,21 +209,26 @@ def _tokens(source: DataFrame, need: DataFrame, least: int) -> DataFrame:
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint64)
-        for batch in stream:
-            docs, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            out = []
-            for i, text in enumerate(batch.column(2)):
-                lines = (text.as_py() or "").encode("utf-8", "replace").split(b"\n")
-                at = _places(np.full(len(lines), docs[i]), np.full(len(lines), ties[i]), np.arange(len(lines)))
-                for k in np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).tolist():
-                    words = set(lines[k].split())
+        for whole in stream:
+            for low in range(0, whole.num_rows, 512):
+                batch = whole.slice(low, 512)
+                docs, ties, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+                n = np.array([(t or "").count("\n") + 1 for t in texts])
+                owner, line = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = _places(docs[owner], ties[owner], line)
+                hit = np.flatnonzero(bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+                out, split, last = [], [], -1
+                for i, k in zip(owner[hit].tolist(), line[hit].tolist()):
+                    if i != last:
+                        split, last = (texts[i] or "").encode("utf-8", "replace").split(b"\n"), i
+                    words = set(split[k].split())
                     if len(words) >= least:
                         out.append((docs[i], ties[i], k, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)))
-            if out:
-                d, e, k, tokens = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(k, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc", "tie", "line", "tokens"])
+                if out:
+                    d, e, k, tokens = zip(*out)
+                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(k, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc", "tie", "line", "tokens"])
 
-    return source.mapInArrow(run, "doc long, tie long, line int, tokens array<long>").distinct().join(need, ["doc", "tie", "line"])
+    return source.mapInArrow(run, "doc long, tie long, line int, tokens array<long>").dropDuplicates(["doc", "tie", "line"]).join(need, ["doc", "tie", "line"])
 
 
 def _matched(rows: DataFrame, t: float) -> DataFrame:
@@ -221,7 +239,8 @@ def _matched(rows: DataFrame, t: float) -> DataFrame:
         for table in grouped(stream, "shard", 10_000):
             c = _columns(table)
             place = list(zip(*(table.column(k).to_pylist() for k in ("doc", "tie", "line"))))
-            tokens, sets, gone = table.column("tokens"), {}, set()
+            lists, sets, gone = table.column("tokens").combine_chunks(), {}, set()
+            tokens, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             for xs, ys in candidates(c, t):
                 for x, y in zip(xs.tolist(), ys.tolist()):
                     late = x if place[x] > place[y] else y
@@ -229,14 +248,14 @@ def _matched(rows: DataFrame, t: float) -> DataFrame:
                         continue
                     for r in (x, y):
                         if r not in sets:
-                            sets[r] = set(tokens[r].as_py())
+                            sets[r] = set(tokens[at[r] : at[r + 1]].tolist())
                     both = len(sets[x] & sets[y])
                     if both * (1 + t) >= t * (len(sets[x]) + len(sets[y])) - 1e-9:
                         gone.add(late)
             if gone:
-                yield pa.RecordBatch.from_arrays([pa.array(c["cls"][sorted(gone)])], names=["cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(c["id"][sorted(gone)])], names=["id"])
 
-    return rows.repartition("shard").sortWithinPartitions("shard", "doc", "tie", "line").mapInArrow(run, "cls long").distinct()
+    return rows.repartition("shard").sortWithinPartitions("shard", "meta").mapInArrow(run, "id long").distinct()
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
@@ -248,18 +267,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and so are treated alike. Other columns stay; an empty table gives an empty one. Word and set identity is that of
     64-bit hashes."""
     spark, source = docs.sparkSession, _source(docs, id_col, text_col)
-    counts = token_counts(docs, text_col, least)
+    counts = token_counts(docs, text_col)
+    released(spark)
     lines = written(_lines(source, counts, similarity, least), "lines")
     first = F.min(F.struct("doc", "tie", "line", "n", "sig", "prefix", "hot")).alias("f")
-    classes = written(lines.groupBy("cls").agg(first).select("cls", "f.*"), "classes")
+    classes = written(lines.groupBy("cls").agg(first).select("cls", "f.*").withColumn("id", F.monotonically_increasing_id()), "classes")
     released(spark)
     involved = written(_involved(_blocks(classes, similarity), similarity), "involved")
     released(spark)
-    need = written(involved.select("cls").distinct().join(classes.select("cls", "doc", "tie", "line"), "cls"), "need")
-    tokens = _tokens(source, need, least)
-    matched = written(_matched(involved.join(tokens, "cls"), similarity), "matched")
+    need = written(involved.select("id").distinct().join(classes.select("id", "doc", "tie", "line"), "id"), "need")
+    tokens = written(_tokens(source, need, least), "tokens")
+    released(spark)
+    matched = written(_matched(involved.join(tokens, "id"), similarity), "matched")
     released(spark)
-    stay = classes.select("cls", F.struct("doc", "tie", "line").alias("first")).join(matched, "cls", "left_anti")
+    stay = classes.select("cls", "id", F.struct("doc", "tie", "line").alias("first")).join(matched, "id", "left_anti").drop("id")
     gone = lines.select("doc", "tie", "line", "cls").join(stay, "cls", "left").where(F.col("first").isNull() | (F.col("first") != F.struct("doc", "tie", "line")))
     gone = gone.groupBy("doc", "tie").agg(F.collect_set("line").alias("_gone"))
     d = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_tie": F.xxhash64(text_col)})
