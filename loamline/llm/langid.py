@@ -200,8 +200,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED))
     start = F.pmod(order, F.greatest(F.lit(1), F.length(text_col) - PIECE)).cast("int") + 1
     d = d.select(F.col(lang_col).alias("lang"), order.alias("o"), F.substring(F.col(text_col), start, F.lit(PIECE)).alias("piece"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "piece"))
-    rows = sorted(tuple(r) for r in d.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("lang", "o", "piece").collect())
+    # a language may have most documents: first the lowest of each salt, then of those
+    for part in (["lang", F.pmod("o", F.lit(64))], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy("o", "piece"))
+        d = d.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("lang", "o", "piece")
+    rows = sorted(tuple(r) for r in d.collect())
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})
