@@ -66,6 +66,13 @@ def extended(df: DataFrame, ddl: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of `written` that nothing will read again."""
+    files = df.inputFiles()
+    if files:
+        _deleted(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def held_out(doc_id) -> F.Column:
     """True for the fifth of documents that no model may learn from: crc32(doc_id as text) mod 5 = 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

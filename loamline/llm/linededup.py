@@ -20,10 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped, local_labels, released, written
+from .common import dropped, grouped, local_labels, released, written
 
 SIMILARITY, LEAST = 0.8, 5
-BUCKETS, PIECE, BITMAP = 1 << 20, 4096, 1 << 26
+BUCKETS, PIECE, BITMAP, LONG = 1 << 20, 4096, 1 << 26, 96
+WIDE = ("w0", "w1", "w2", "w3")
 LAST = (1 << 63) - 1
 
 
@@ -60,6 +61,14 @@ class Lines:
         out, so their bitmaps differ in no more bits than the lines do in tokens."""
         return np.bitwise_xor.reduceat(np.uint64(1) << (self.h >> np.uint64(58)), self.start).view(np.int64)
 
+    def wide(self) -> list[pa.Array]:
+        """Such bitmaps of 256 bits, as four columns, of the lines of more than LONG tokens; null for others."""
+        where, out = (self.h >> np.uint64(48)) & np.uint64(255), []
+        for k in range(4):
+            bits = np.where(where >> np.uint64(6) == k, np.uint64(1) << (where & np.uint64(63)), np.uint64(0))
+            out.append(pa.array(np.bitwise_xor.reduceat(bits, self.start).view(np.int64), mask=self.n <= LONG))
+        return out
+
     def prefixes(self, rank: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
         """The low 32 bits of the rarest tokens of each line, in order of rarity, and their offsets."""
         place = rank[(self.h & np.uint64(BUCKETS - 1)).astype(np.int64)]
@@ -113,11 +122,11 @@ def _lines(source: DataFrame, counts: np.ndarray, t: float, least: int) -> DataF
                 hot = common[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)]
                 where = pa.array(lines.owner)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), batch.column(1).take(where), pa.array(lines.number, pa.int32()), pa.array(lines.classes()), pa.array(lines.n, pa.int32()), pa.array(lines.bitmaps()), lists((tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), pa.int32()), lists(hot, pa.bool_())],
-                    names=["doc", "tie", "line", "cls", "n", "sig", "prefix", "hot"],
+                    [batch.column(0).take(where), batch.column(1).take(where), pa.array(lines.number, pa.int32()), pa.array(lines.classes()), pa.array(lines.n, pa.int32()), pa.array(lines.bitmaps()), lists((tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), pa.int32()), lists(hot, pa.bool_()), *lines.wide()],
+                    names=["doc", "tie", "line", "cls", "n", "sig", "prefix", "hot", *WIDE],
                 )
 
-    return source.mapInArrow(run, "doc long, tie long, line int, cls long, n int, sig long, prefix array<int>, hot array<boolean>")
+    return source.mapInArrow(run, "doc long, tie long, line int, cls long, n int, sig long, prefix array<int>, hot array<boolean>, w0 long, w1 long, w2 long, w3 long")
 
 
 def _blocks(classes: DataFrame, t: float) -> DataFrame:
@@ -137,6 +146,8 @@ def _blocks(classes: DataFrame, t: float) -> DataFrame:
 
 def _columns(t: pa.Table) -> dict[str, np.ndarray]:
     c = {k: t.column(k).to_numpy() for k in ("shard", "id", "sig", "meta")}
+    c["sig"] = c["sig"].view(np.uint64)
+    c |= {k: t.column(k).fill_null(0).to_numpy().view(np.uint64) for k in WIDE if k in t.column_names}
     return c | {"n": c["meta"] >> 32, "i": (c["meta"] >> 2) & ((1 << 30) - 1), "side": c["meta"] & 3}
 
 
@@ -156,7 +167,10 @@ def candidates(c: dict[str, np.ndarray], t: float) -> Iterator[tuple[np.ndarray,
         sides = c["side"][x] + c["side"][y]
         ok &= ((sides == 4) | ((sides == 1) & (c["side"][x] != 2) & (c["side"][y] != 2))) & (c["id"][x] != c["id"][y])
         x, y, slack = x[ok], y[ok], (both - 2 * need)[ok]
-        near = np.bitwise_count(c["sig"][x].view(np.uint64) ^ c["sig"][y].view(np.uint64)) <= slack
+        near = np.bitwise_count(c["sig"][x] ^ c["sig"][y]) <= slack
+        if "w0" in c:
+            far = sum(np.bitwise_count(c[k][x] ^ c[k][y]).astype(np.int64) for k in WIDE)
+            near &= (far <= slack) | (c["n"][x] <= LONG) | (c["n"][y] <= LONG)
         yield x[near], y[near]
         d += 1
 
@@ -181,13 +195,27 @@ def _involved(blocks: DataFrame, t: float) -> DataFrame:
                 continue
             least = np.full(len(lab), LAST)
             np.minimum.at(least, lab[found], c["id"][found])
-            rows = np.unique(np.stack([least[lab[found]], c["id"][found], (c["n"][found] << 32) + 2, c["sig"][found]], axis=1), axis=0)
+            rows = np.unique(np.stack([least[lab[found]], c["id"][found], (c["n"][found] << 32) + 2, c["sig"][found].view(np.int64)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.T.copy()], names=["shard", "id", "meta", "sig"])
 
     found = blocks.repartition("shard").sortWithinPartitions("shard", "meta").mapInArrow(run, "shard long, id long, meta long, sig long")
     return found.distinct()
 
 
+def _refined(involved: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """The rows of involved that are still in a candidate pair when the wide bitmaps of long lines are compared too."""
+    rows = involved.join(classes.where("w0 is not null").select("id", *WIDE), "id", "left").select("shard", "id", "meta", "sig", *WIDE)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(stream, "shard", 50_000):
+            found = np.zeros(table.num_rows, bool)
+            for x, y in candidates(_columns(table), t):
+                found[x] = found[y] = True
+            yield from table.select(["shard", "id", "meta", "sig"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    return rows.repartition("shard").sortWithinPartitions("shard", "meta").mapInArrow(run, involved.schema)
+
+
 def _places(doc: np.ndarray, tie: np.ndarray, line: np.ndarray) -> np.ndarray:
     x = _mixed(doc.astype(np.int64).view(np.uint64) ^ _mixed(tie.astype(np.int64).view(np.uint64)) ^ _mixed(line.astype(np.uint64)))
     return (x & np.uint64(BITMAP - 1)).astype(np.int64)
@@ -270,15 +298,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = token_counts(docs, text_col)
     released(spark)
     lines = written(_lines(source, counts, similarity, least), "lines")
-    first = F.min(F.struct("doc", "tie", "line", "n", "sig", "prefix", "hot")).alias("f")
+    first = F.min(F.struct("doc", "tie", "line", "n", "sig", "prefix", "hot", *WIDE)).alias("f")
     classes = written(lines.groupBy("cls").agg(first).select("cls", "f.*").withColumn("id", F.monotonically_increasing_id()), "classes")
     released(spark)
     involved = written(_involved(_blocks(classes, similarity), similarity), "involved")
     released(spark)
+    involved = written(_refined(involved, classes, similarity), "involved")
     need = written(involved.select("id").distinct().join(classes.select("id", "doc", "tie", "line"), "id"), "need")
     tokens = written(_tokens(source, need, least), "tokens")
     released(spark)
     matched = written(_matched(involved.join(tokens, "id"), similarity), "matched")
+    dropped(tokens)
     released(spark)
     stay = classes.select("cls", "id", F.struct("doc", "tie", "line").alias("first")).join(matched, "id", "left_anti").drop("id")
     gone = lines.select("doc", "tie", "line", "cls").join(stay, "cls", "left").where(F.col("first").isNull() | (F.col("first") != F.struct("doc", "tie", "line")))
