@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words. Lines with equal sets collapse to one class, whose first occurrence stands for it. The
-tokens of a class are ordered by rarity (how many documents hold them, in BUCKETS buckets of token hashes). Two sets of
+tokens of a class are ordered by rarity (how many lines hold them, in BUCKETS buckets of token hashes). Two sets of
 Jaccard similarity t or more share a token among the first n - ceil(t n) + 1 of each, so classes meet in blocks of one
 prefix token, in order of size. There the length filter, the positional filter (what is left after
 the shared token must reach the overlap) and a bitmap filter (differing bits bound differing tokens) leave few pairs,
@@ -12,7 +12,6 @@ tokens are cut into pieces that meet two by two, and no pair leaves its task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +33,54 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: ASCII white space, and what a byte counts and by what power, for the hashes of words.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTE, POWER = _mixed(np.arange(1, 257, dtype=np.uint64)), np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+
+
+def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of some bytes start, and their 64-bit hashes: sums over their bytes, or xxHash for the longest."""
+    space = np.concatenate([[True], SPACE[data], [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    h = np.empty(len(start), np.uint64)
+    for low in range(0, len(start), 1 << 16):
+        s, n = start[low : low + (1 << 16)], (end - start)[low : low + (1 << 16)]
+        short = np.minimum(n, 64)
+        first = np.cumsum(short) - short
+        place = np.arange(short.sum()) - np.repeat(first, short)
+        h[low : low + len(s)] = np.add.reduceat(BYTE[data[np.repeat(s, short) + place]] * POWER[place], first)
+    h = _mixed(h + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > 64).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
+    return start, h
+
+
 class Lines:
     """The lines of some texts that have at least `least` distinct words (ASCII white space parts words; a line ends at
     a line feed): owner, number, size n, and the 64-bit hashes of the words, line after line."""
 
     def __init__(self, texts: list[str | None], least: int):
-        self.owner, self.number, sets = [], [], []
-        for i, text in enumerate(texts):
-            for k, line in enumerate((text or "").encode("utf-8", "replace").split(b"\n")):
-                words = set(line.split())
-                if len(words) >= least:
-                    self.owner.append(i)
-                    self.number.append(k)
-                    sets.append(words)
-        self.n = np.array(list(map(len, sets)), np.int64)
-        self.h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(sets)), np.uint64, int(self.n.sum()))
+        coded = [(t or "").encode("utf-8", "replace") for t in texts]
+        data = np.frombuffer(b"\n".join(coded), np.uint8)
+        feeds = data == 10
+        start, h = words(data)
+        line = np.cumsum(feeds, dtype=np.int32)[start].astype(np.uint64)  # numbered through all texts
+        order = np.argsort((line << np.uint64(44)) | (h >> np.uint64(20)))
+        line, h = line[order], h[order]
+        same = (line[1:] == line[:-1]) & (h[1:] >> np.uint64(20) == h[:-1] >> np.uint64(20))
+        if (len(line) and line[-1] >> np.uint64(20)) or (same & (h[1:] != h[:-1])).any():  # the key is too short to tell all apart
+            order = np.lexsort((h, line))
+            line, h = line[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+        line, h = line[new].astype(np.int64), h[new]
+        n = np.bincount(line)
+        kept = np.flatnonzero(n >= least)
+        ends = np.cumsum([t.count(b"\n") + 1 for t in coded])
+        self.owner = np.searchsorted(ends, kept, "right")
+        self.number = kept - np.concatenate([[0], ends])[self.owner]
+        self.n, self.h = n[kept], h[n[line] >= least]
         self.start = np.cumsum(self.n) - self.n
         self.line = np.repeat(np.arange(len(self.n)), self.n)
 
@@ -63,10 +95,14 @@ class Lines:
 
     def wide(self) -> list[pa.Array]:
         """Such bitmaps of 256 bits, as four columns, of the lines of more than LONG tokens; null for others."""
-        where, out = (self.h >> np.uint64(48)) & np.uint64(255), []
+        long = self.n > LONG
+        where, sizes, out = (self.h[long[self.line]] >> np.uint64(48)) & np.uint64(255), self.n[long], []
         for k in range(4):
-            bits = np.where(where >> np.uint64(6) == k, np.uint64(1) << (where & np.uint64(63)), np.uint64(0))
-            out.append(pa.array(np.bitwise_xor.reduceat(bits, self.start).view(np.int64), mask=self.n <= LONG))
+            found = np.zeros(len(self.n), np.int64)
+            if len(sizes):
+                bits = np.where(where >> np.uint64(6) == k, np.uint64(1) << (where & np.uint64(63)), np.uint64(0))
+                found[long] = np.bitwise_xor.reduceat(bits, np.cumsum(sizes) - sizes).view(np.int64)
+            out.append(pa.array(found, mask=~long))
         return out
 
     def prefixes(self, rank: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +122,14 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
 
 
-def token_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """How many documents hold a token of each bucket."""
+def token_counts(docs: DataFrame, text_col: str, least: int) -> np.ndarray:
+    """How many lines hold a token of each bucket, tokens of one line counted apart."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        for batch in stream:
-            for text in batch.column(0):
-                words = set((text.as_py() or "").encode("utf-8", "replace").split())
-                h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-                np.add.at(counts, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        for whole in stream:
+            for low in range(0, whole.num_rows, 256):
+                np.add.at(counts, (Lines(whole.column(0).slice(low, 256).to_pylist(), least).h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["bucket", "n"])
 
@@ -130,18 +164,18 @@ def _lines(source: DataFrame, counts: np.ndarray, t: float, least: int) -> DataF
 
 
 def _blocks(classes: DataFrame, t: float) -> DataFrame:
-    """Rows (shard, id, meta, sig): a class in each block of a prefix token. meta holds size, position and side: 2 meets
-    all of its shard; 0 and 1, the pieces of a large block, meet each other. Shards whose hashes collide only share a
-    few more pairs that the filters see."""
+    """Rows (key, id, pos, sig): a class in each block of a prefix token. key holds shard and size, in one column that
+    sorts fast; pos holds position and side: 2 meets all of its shard; 0 and 1, the pieces of a large block, meet each
+    other. Shards whose hashes collide only share a few more pairs that the filters see."""
     p = classes.select("id", "n", "sig", F.posexplode(F.arrays_zip("prefix", "hot")).alias("i", "x")).select("id", "n", "sig", "i", "x.prefix", "x.hot")
     large = p.where("hot").groupBy("prefix").count().where(F.col("count") > PIECE).select("prefix", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
     p = p.join(large, "prefix", "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int"))
     p = p.withColumn("other", F.explode(F.expr("sequence(0, coalesce(pieces, 1) - 1)")))
     a, b = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(a == b, 2).when(F.col("own") == a, 0).otherwise(1)
-    meta = F.shiftleft(F.col("n").cast("long"), 32) + F.shiftleft(F.col("i").cast("long"), 2) + side
     shard = F.when(F.col("pieces").isNull(), F.col("prefix")).otherwise(F.hash("prefix", a, b))
-    return p.select(shard.alias("shard"), "id", meta.alias("meta"), "sig")
+    key = F.shiftleft(shard.cast("long"), 32) + F.col("n")
+    return p.select(key.alias("key"), "id", (F.shiftleft(F.col("i").cast("long"), 2) + side).alias("pos"), "sig")
 
 
 def _columns(t: pa.Table) -> dict[str, np.ndarray]:
@@ -198,7 +232,9 @@ def _involved(blocks: DataFrame, t: float) -> DataFrame:
             rows = np.unique(np.stack([least[lab[found]], c["id"][found], (c["n"][found] << 32) + 2, c["sig"][found].view(np.int64)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.T.copy()], names=["shard", "id", "meta", "sig"])
 
-    found = blocks.repartition("shard").sortWithinPartitions("shard", "meta").mapInArrow(run, "shard long, id long, meta long, sig long")
+    shard, size = F.shiftright("key", 32), F.col("key").bitwiseAND((1 << 32) - 1)
+    rows = blocks.repartition(shard).sortWithinPartitions("key").select(shard.alias("shard"), "id", (F.shiftleft(size, 32) + F.col("pos")).alias("meta"), "sig")
+    found = rows.mapInArrow(run, "shard long, id long, meta long, sig long")
     return found.distinct()
 
 
@@ -230,9 +266,9 @@ def _tokens(source: DataFrame, need: DataFrame, least: int) -> DataFrame:
             at = _places(*(b.column(i).to_numpy() for i in (1, 2, 3)))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6, pa.int32()), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["word", "bits"])
 
-    words = need.mapInArrow(mark, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    marked = need.mapInArrow(mark, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP >> 6, np.int64)
-    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    bitmap[marked.column(0).to_numpy()] = marked.column(1).to_numpy()
     shared = source.sparkSession.sparkContext.broadcast(bitmap.view(np.uint8).tobytes())
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +285,9 @@ def _tokens(source: DataFrame, need: DataFrame, least: int) -> DataFrame:
                 for i, k in zip(owner[hit].tolist(), line[hit].tolist()):
                     if i != last:
                         split, last = (texts[i] or "").encode("utf-8", "replace").split(b"\n"), i
-                    words = set(split[k].split())
-                    if len(words) >= least:
-                        out.append((docs[i], ties[i], k, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)))
+                    tokens = np.unique(words(np.frombuffer(split[k], np.uint8))[1])
+                    if len(tokens) >= least:
+                        out.append((docs[i], ties[i], k, tokens.view(np.int64)))
                 if out:
                     d, e, k, tokens = zip(*out)
                     yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(e, pa.int64()), pa.array(k, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["doc", "tie", "line", "tokens"])
@@ -295,7 +331,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and so are treated alike. Other columns stay; an empty table gives an empty one. Word and set identity is that of
     64-bit hashes."""
     spark, source = docs.sparkSession, _source(docs, id_col, text_col)
-    counts = token_counts(docs, text_col)
+    counts = token_counts(docs, text_col, least)
     released(spark)
     lines = written(_lines(source, counts, similarity, least), "lines")
     first = F.min(F.struct("doc", "tie", "line", "n", "sig", "prefix", "hot", *WIDE)).alias("f")
