@@ -12,7 +12,7 @@ with the corpus. A task reduces the links of its trees to a spanning forest, so
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +140,37 @@ def near_pairs(t: pa.Table, radius: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield from bk_search(fp, forest, some, root[number[some]], radius)
 
 
+def parity(each: np.ndarray) -> bytes:
+    """512 bits: the parity of the distinct hashes in each 512th. What two sets share cancels out, so their bits differ in
+    no more places than the sets do in elements."""
+    odd = np.bincount((each >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def similar_pairs(t: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in a table of whole shards (shard, n, sig, asks, in_tree) whose set sizes n and parities allow that
+    Jaccard similarity: all that have it are among them, however far apart their fingerprints are."""
+    shard, n = t.column("shard").to_numpy(), t.column("n").to_numpy()
+    asks, tree = (t.column(x).to_numpy(zero_copy_only=False) for x in ("asks", "in_tree"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(-1, 8)
+    order = np.lexsort((n, shard))
+    rows, d = np.arange(len(order)), 1
+    while True:
+        rows = rows[rows + d < len(order)]
+        # sizes rise, so a row whose partner is too large has no further one
+        rows = rows[(shard[order[rows]] == shard[order[rows + d]]) & (n[order[rows]] >= similarity * n[order[rows + d]] - 1e-9)]
+        if not len(rows):
+            return
+        a, b = order[rows], order[rows + d]
+        meet = (asks[a] & tree[b]) | (asks[b] & tree[a])
+        a, b = a[meet], b[meet]
+        both = n[a] + n[b]
+        slack = both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9).astype(np.int64)
+        near = np.bitwise_count(sig[a] ^ sig[b]).sum(axis=1, dtype=np.int64) <= slack
+        yield a[near], b[near]
+        d += 1
+
+
 def links(distinct: DataFrame, radius: int) -> DataFrame:
     """Links (src, dst) that connect exactly those of the distinct fingerprints that a chain of links of at most radius
     differing bits connects: a spanning forest of each shard."""
@@ -176,8 +207,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _sketches(docs: DataFrame, width: int, keys: int) -> DataFrame:
-    """(doc, tie, cls, fp, mins) of docs (doc, tie, text): a hash of the set of shingles, the fingerprint, and for each
-    of `keys` permutations the least shingle hash."""
+    """(doc, tie, cls, fp, n, sig, mins) of docs (doc, tie, text), all by the set of shingles: a hash, the fingerprint,
+    the size, the parity, and for each of `keys` permutations the least shingle hash."""
     odd = np.random.default_rng(SEED).integers(1, 1 << 63, keys, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def mixed(x: np.ndarray) -> np.ndarray:
@@ -188,15 +219,14 @@ def _sketches(docs: DataFrame, width: int, keys: int) -> DataFrame:
         for batch in stream:
             rows = []
             for text in batch.column(2):
-                h = shingle_hashes(text.as_py(), width)
-                each = np.unique(h)
+                each = np.unique(shingle_hashes(text.as_py(), width))
                 cls = np.add.reduce(mixed(each)) + np.uint64(len(each))
                 mins = [int(mixed(each * k).min().view(np.int64)) for k in odd] if len(each) else []
-                rows.append((int(cls.view(np.int64)), majority(h), mins))
-            c, fp, mins = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c, pa.int64()), pa.array(fp, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], names=["doc", "tie", "cls", "fp", "mins"])
+                rows.append((int(cls.view(np.int64)), majority(each), len(each), parity(each), mins))
+            c, fp, n, sig, mins = zip(*rows) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(c, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(mins, pa.list_(pa.int64()))], names=["doc", "tie", "cls", "fp", "n", "sig", "mins"])
 
-    return docs.mapInArrow(run, "doc long, tie long, cls long, fp long, mins array<long>")
+    return docs.mapInArrow(run, "doc long, tie long, cls long, fp long, n long, sig binary, mins array<long>")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 20, keys: int = 8) -> DataFrame:
@@ -204,9 +234,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the sets of their `width`-word shingles have Jaccard similarity of at least `similarity`, and groups are what links
     connect.
 
-    Pairs are found by BK-trees over SimHash fingerprints; a radius as wide as such pairs are apart would reach most of
-    a bit-block shard, so here a shard holds the documents that share the least shingle hash of one of `keys`
-    permutations (a pair at 0.8 misses all eight in 3 of a million cases, and 20 bits in fewer than 1 of 2000). The
+    Pairs are found by BK-trees over SimHash fingerprints of the sets; a radius as wide as such pairs are apart would
+    reach most of a bit-block shard, so here a shard holds the documents that share the least shingle hash of one of
+    `keys` permutations (a pair at 0.8 misses all eight in 3 of a million cases). No radius bounds how far apart such
+    pairs are, least of all short ones, so each shard also gives the pairs beyond it that sizes and parities allow. The
     pairs found are verified on the shingles themselves, up to a spanning forest of each shard.
 
     Texts that are null, empty or white space are each other's copies. Null ids come last; rows equal in id and text are
@@ -215,14 +246,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed_ = {"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(last)), "_tie": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
     source = docs.withColumns(keyed_).select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), F.col(text_col).alias("text"))
     prints = written(_sketches(source, width, keys), "sketches")
-    classes = written(prints.groupBy("cls").agg(F.min(F.struct("doc", "tie", "fp", "mins")).alias("f")).select("cls", "f.*"), "classes")
-    keyed = classes.select("cls", "fp", F.posexplode("mins").alias("i", "m")).select("cls", "fp", F.xxhash64("i", "m").alias("k"))
+    classes = written(prints.groupBy("cls").agg(F.min(F.struct("doc", "tie", "fp", "n", "sig", "mins")).alias("f")).select("cls", "f.*"), "classes")
+    keyed = classes.select("cls", "fp", "n", "sig", F.posexplode("mins").alias("i", "m")).select("cls", "fp", "n", "sig", F.xxhash64("i", "m").alias("k"))
     rows = dealt(keyed, "cls")
 
     def involved(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(stream, "shard", 20_000):
             found = np.zeros(t.num_rows, bool)
-            for a, b in near_pairs(t, radius):
+            for a, b in chain(near_pairs(t, radius), similar_pairs(t, similarity)):
                 found[a[a != b]] = found[b[a != b]] = True
             yield from t.filter(pa.array(found)).combine_chunks().to_batches()
 
@@ -241,8 +272,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def verified(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(stream, "shard", 2_000):
             lab, cls, column, got, edges = np.arange(t.num_rows), t.column("cls").to_numpy(), t.column("shingles"), {}, []
-            for a, b in near_pairs(t, radius):
-                for x, y in zip(a.tolist(), b.tolist()):
+            for a, b in chain(near_pairs(t, radius), similar_pairs(t, similarity)):
+                apart = lab[a] != lab[b]
+                for x, y in zip(a[apart].tolist(), b[apart].tolist()):
                     if lab[x] == lab[y]:
                         continue
                     for r in (x, y):

@@ -95,6 +95,34 @@ def test_one_document_of_each_near_duplicate_group_stays(spark):
     assert got == sorted({c for c in want.values()}, key=str)
 
 
+def test_near_duplicates_with_repeated_phrases_and_short_texts(spark):
+    """Pairs of like sets whose fingerprints may be far apart: a phrase repeated in one, or 5 shingles against 4."""
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    rows = []
+    for n in range(30):
+        long, phrase, short = word(504), word(6), word(9)
+        rows += [(6 * n, " ".join(long)), (6 * n + 1, " ".join(long + phrase * (50 + 5 * n)))]
+        rows += [(6 * n + 2, " ".join(short)), (6 * n + 3, " ".join(short[:-1])), (6 * n + 4, " ".join(word(9))), (6 * n + 5, " ".join(short[:-2]))]
+    got = {r.doc_id for r in S.deduplicated(spark.createDataFrame([(*r, "", "") for r in rows], DOCS)).collect()}
+    sets = {i: set(S.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    want = groups(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert got == set(want.values()) and len(got) == 120
+
+
+def test_all_pairs_of_like_sets_are_given():
+    rng = np.random.default_rng(9)
+    sets = []
+    for n in [*rng.integers(4, 40, 30), *rng.integers(300, 2000, 10)]:
+        base = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        sets += [np.unique(base), np.unique(base[: -max(1, n // 6)]), np.unique(base[n // 8 :])]
+    t = pa.table({"shard": np.arange(len(sets)) % 2, "n": [len(x) for x in sets], "sig": pa.array(map(S.parity, sets), pa.binary()), "asks": np.ones(len(sets), bool), "in_tree": np.ones(len(sets), bool)})
+    got = {frozenset((int(a), int(b))) for x, y in S.similar_pairs(t, 0.8) for a, b in zip(x, y)}
+    like = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    want = {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if (i - j) % 2 == 0 and like(sets[i], sets[j])}
+    assert want <= got and len(want) > 10
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 700)] + [(9, 9)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
