@@ -211,7 +211,8 @@ def candidates(c: dict[str, np.ndarray], t: float) -> Iterator[tuple[np.ndarray,
 
 def _involved(blocks: DataFrame, t: float) -> DataFrame:
     """Rows (shard, id, meta, sig) of the classes that are in a candidate pair; here a shard is a cluster of pairs within a
-    block, called by its least id. A cluster comes out of each block that its members share, and once remains."""
+    shard of _blocks, called by a hash of its members and their sides. So it is never larger than that one, and where it
+    comes out of several blocks, once remains."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(stream, "shard", 50_000):
@@ -227,9 +228,11 @@ def _involved(blocks: DataFrame, t: float) -> DataFrame:
             found = np.flatnonzero(np.bincount(lab, minlength=len(lab))[lab] > 1)
             if not len(found):
                 continue
-            least = np.full(len(lab), LAST)
-            np.minimum.at(least, lab[found], c["id"][found])
-            rows = np.unique(np.stack([least[lab[found]], c["id"][found], (c["n"][found] << 32) + 2, c["sig"][found].view(np.int64)], axis=1), axis=0)
+            rows = np.unique(np.stack([lab[found], c["id"][found], (c["n"][found] << 32) + c["side"][found], c["sig"][found].view(np.int64)], axis=1), axis=0)
+            cluster = np.flatnonzero(np.diff(rows[:, 0], prepend=-1))
+            member = _mixed(_mixed(rows[:, 1].astype(np.uint64)) + rows[:, 2].astype(np.uint64))
+            name = _mixed(np.add.reduceat(member, cluster)).view(np.int64)
+            rows[:, 0] = np.repeat(name, np.diff(cluster, append=len(rows)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows.T.copy()], names=["shard", "id", "meta", "sig"])
 
     shard, size = F.shiftright("key", 32), F.col("key").bitwiseAND((1 << 32) - 1)
@@ -302,22 +305,25 @@ def _matched(rows: DataFrame, t: float) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(stream, "shard", 10_000):
             c = _columns(table)
-            place = list(zip(*(table.column(k).to_pylist() for k in ("doc", "tie", "line"))))
-            lists, sets, gone = table.column("tokens").combine_chunks(), {}, set()
+            order = np.lexsort(tuple(table.column(k).to_numpy() for k in ("line", "tie", "doc")))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            lists, sets, gone = table.column("tokens").combine_chunks(), {}, np.zeros(len(order), bool)
             tokens, at = lists.values.to_numpy(), lists.offsets.to_numpy()
             for xs, ys in candidates(c, t):
-                for x, y in zip(xs.tolist(), ys.tolist()):
-                    late = x if place[x] > place[y] else y
-                    if late in gone:
+                late = np.where(place[xs] > place[ys], xs, ys)
+                left = ~gone[late]
+                for x, y, z in zip(xs[left].tolist(), ys[left].tolist(), late[left].tolist()):
+                    if gone[z]:
                         continue
                     for r in (x, y):
                         if r not in sets:
                             sets[r] = set(tokens[at[r] : at[r + 1]].tolist())
                     both = len(sets[x] & sets[y])
                     if both * (1 + t) >= t * (len(sets[x]) + len(sets[y])) - 1e-9:
-                        gone.add(late)
-            if gone:
-                yield pa.RecordBatch.from_arrays([pa.array(c["id"][sorted(gone)])], names=["id"])
+                        gone[z] = True
+            if gone.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c["id"][gone])], names=["id"])
 
     return rows.repartition("shard").sortWithinPartitions("shard", "meta").mapInArrow(run, "id long").distinct()
 

@@ -63,3 +63,24 @@ def test_equal_ids_with_unlike_texts_keep_their_own_lines(spark):
     rows = [(1, "a b c d e\nv w x y z", "", "", ""), (1, "v w x y z\nf g h i j", "", "", "")]
     got = L.line_dedup(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sum(r.text.count("v w x y z") for r in got) == 1 and sum(r.dedup_n_removed for r in got) == 1
+
+
+def test_a_large_group_stays_cut_into_pieces(spark, monkeypatch):
+    """Lines with one number changed in each: no shard that is compared in one task exceeds two pieces."""
+    monkeypatch.setattr(L, "PIECE", 16)
+    rows = [(i, f"the same long footer of each page stands here with number n{i}") for i in range(400)]
+    sizes, kept = [], {n: getattr(L, n) for n in ("_involved", "_refined")}
+
+    def watched(name):
+        def run(*args):
+            found = kept[name](*args)
+            sizes.append(max(r["count"] for r in found.groupBy("shard").count().collect()))
+            return found
+
+        return run
+
+    for name in kept:
+        monkeypatch.setattr(L, name, watched(name))
+    got = L.line_dedup(spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA)).collect()
+    assert {r.doc_id for r in got if r.dedup_n_removed == 0} == {0} and len(got) == 400
+    assert len(sizes) == 2 and max(sizes) <= 4 * 16  # pieces are dealt by hash: some are over their mean
