@@ -54,8 +54,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all texts, of their edited texts, and their likeness."""
-    return syncmers.edited_fingerprints(read(spark, sf_dir, "documents"))
+    """Fingerprints of all texts, of their edited texts, and their likeness, by all anchors."""
+    return syncmers.edited_fingerprints(read(spark, sf_dir, "documents"), size=None)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

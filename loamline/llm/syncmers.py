@@ -1,8 +1,8 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is a closed syncmer if the least of its inner s-mers (by hash) stands first or last. Whether it
-is one depends on the k-mer alone, so an edit changes only the anchors it touches. A fingerprint holds the SIZE anchors
-of lowest hash among the whole text's, each with its position; a text with fewer than FEW also gives shorter anchors,
+is one depends on the k-mer alone, so an edit changes only the anchors it touches. A fingerprint holds all
+anchors of the text, or those of the `size` lowest hashes, each with its position; a text with fewer than FEW also gives shorter anchors,
 and one without any gives its own hash. Two fingerprints are compared by the anchors they share in the same order: the
 longest chain of rising positions, as a share of the lowest hashes of both.
 """
@@ -67,9 +67,9 @@ def closed(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (_mixed(whole ^ np.uint64(k)) >> np.uint64(32)).astype(np.uint32)
 
 
-def fingerprint(text: str) -> str:
+def fingerprint(text: str, size: int | None = SIZE) -> str:
     """Hash and position of each anchor, 8 hexadecimal digits each, by rising hash; of repeated anchors the first. Empty
-    for an empty text."""
+    for an empty text. size: how many at most; None for all, without which a passage leaves no trace in a long text."""
     if not text:
         return ""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -78,7 +78,7 @@ def fingerprint(text: str) -> str:
         for at in range(0, max(1, len(codes) - k + 1), BLOCK):
             place, h = closed(codes[at : at + BLOCK + k - 1], k, s)
             h, first = np.unique(np.concatenate([found[0], h]), return_index=True)
-            found = (h[:SIZE], np.concatenate([found[1], place + at])[first][:SIZE])
+            found = (h[:size], np.concatenate([found[1], place + at])[first][:size])
         if len(found[0]) >= FEW:
             break
     if not len(found[0]):
@@ -91,16 +91,16 @@ def anchors(print_: str) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
 
 
-def likeness(a: str, b: str) -> float:
+def likeness(a: str, b: str, size: int | None = SIZE) -> float:
     """0 to 1: the share of the two texts' content that is common and in the same order, as 2 J / (1 + J) of the
-    estimated Jaccard similarity of their anchors; 1 for equal fingerprints."""
+    Jaccard similarity of their anchors, estimated where size limits the fingerprints; 1 for equal fingerprints."""
     if a == b:
         return 1.0
     (ha, pa_), (hb, pb) = anchors(a), anchors(b)
     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     if not len(i):
         return 0.0
-    union = np.union1d(ha, hb)[:SIZE]
+    union = np.union1d(ha, hb)[:size]
     inside = ha[i] <= union[-1]
     tails: list[int] = []
     for p in pb[j[inside]][np.argsort(pa_[i[inside]], kind="stable")].tolist():
@@ -130,13 +130,13 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return d, len(cuts) + 2
 
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = SIZE) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row of docs.
 
     The edited text has its last floor(n_chars / 3) code points replaced by the first as many (or all) of the next
     document by descending id, after the last the first. Null texts are empty. Rows with a null id come last; rows that
     share an id are ordered by a hash of the text; equal rows follow each other. A single document is its own next. Ids
-    are integers; further columns are not looked at; an empty table gives an empty one."""
+    are integers; further columns are not looked at; an empty table gives an empty one. size: as of `fingerprint`."""
     rows, parts = _with_next(docs, id_col, text_col)
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -145,14 +145,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in stream:
             for bucket, extra, id_, text in zip(*(batch.column(i) for i in range(4))):
                 bucket, extra, id_, text = bucket.as_py(), extra.as_py(), id_.as_py(), text.as_py()
-                print_ = fingerprint(text)
+                print_ = fingerprint(text, size)
                 if held is not None and held[0] == bucket and not held[1]:
                     _, _, own_id, own, own_print = held
                     cut = len(own) // 3
                     edited = own[: len(own) - cut] + text[:cut]
-                    edited_print = own_print if edited == own else fingerprint(edited)
+                    edited_print = own_print if edited == own else fingerprint(edited, size)
                     sha = hashlib.sha256(edited.encode()).hexdigest()
-                    yield own_id, len(own), sha, own_print, edited_print, likeness(own_print, edited_print), likeness(own_print, print_)
+                    yield own_id, len(own), sha, own_print, edited_print, likeness(own_print, edited_print, size), likeness(own_print, print_, size)
                 held = (bucket, extra, id_, text, print_)
 
     run = lambda stream: batches(compared(stream), schema, 256)

@@ -61,6 +61,22 @@ def test_likeness():
     assert S.likeness("", "") == 1 and S.likeness("", S.fingerprint("x")) == 0
 
 
+def test_a_shared_passage_is_found_in_very_long_texts(spark, tmp_path):
+    from loamline.llm.registry import op8_syncmers
+
+    rng = np.random.default_rng(4)
+    make = lambda n: "".join(rng.choice(list("abcdefghij "), n))
+    passages = [make(300) for _ in range(7)]
+    rows = [(i, make(100_000) + (passages[i - 1] if i else "") + make(50_000) + (passages[i] if i < 7 else "") + make(60_000)) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in op8_syncmers(spark, str(tmp_path)).collect()}
+    share = 277 / 210_000
+    assert all(0.25 * share < got[i].near_next < 2 * share for i in range(1, 8))  # next by descending id
+    for i, text in rows:
+        codes = np.array([ord(c) for c in text], np.uint64)
+        assert len(got[i].fingerprint) == 16 * len(np.unique(S.closed(codes, *S.LONG)[1]))
+
+
 def test_next_documents_and_edits(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), "".join(rng.choice(list("abc é漢"), int(n)))) for i, n in zip(rng.permutation(60), rng.integers(0, 90, 60))]
