@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,15 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: With this setting Spark deletes the shuffle files of a query when the query ends. No later one of ours reads them.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: the cluster's ``spark.checkpoint.dir``.
-    Only where that is unset, as in local tests, one is made and set."""
+    Only where that is unset one is made and set, and only where all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="loamline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,7 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lineage: a lost executor costs a read, and an expensive or side-effecting stage runs once."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,14 +62,6 @@ def _deleted(spark: SparkSession, path: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of what is no longer referenced; it does so when the driver collects garbage."""
-    for _ in range(3):  # what one collection frees lets go of more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of df with further fields."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

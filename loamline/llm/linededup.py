@@ -19,12 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, grouped, local_labels, released, written
+from .common import dropped, grouped, local_labels, written
 
 SIMILARITY, LEAST = 0.8, 5
-BUCKETS, PIECE, BITMAP, LONG = 1 << 20, 4096, 1 << 26, 96
+BUCKETS, CHUNK, PIECE, BITMAP, LONG = 1 << 20, 1 << 12, 4096, 1 << 26, 96
 WIDE = ("w0", "w1", "w2", "w3")
 LAST = (1 << 63) - 1
+COUNTS = ("dedup_n_lines", "dedup_n_removed")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -33,25 +34,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: ASCII white space, and what a byte counts and by what power, for the hashes of words.
+#: ASCII white space; what a byte counts; powers of an odd number by place, and their inverses.
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-BYTE, POWER = _mixed(np.arange(1, 257, dtype=np.uint64)), np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+BYTE, TURN, SHORT = _mixed(np.arange(1, 257, dtype=np.uint64)), 1 << 16, 64
+POWER, UNDO = (np.multiply.accumulate(np.full(TURN, x % (1 << 64), np.uint64)) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
 
 
 def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of some bytes start, and their 64-bit hashes: sums over their bytes, or xxHash for the longest."""
+    """Where the words of some bytes start, and their 64-bit hashes: polynomials of their bytes, or xxHash for the longest.
+    A polynomial is a difference of running sums, made in turns of TURN bytes."""
     space = np.concatenate([[True], SPACE[data], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
     h = np.empty(len(start), np.uint64)
-    for low in range(0, len(start), 1 << 16):
-        s, n = start[low : low + (1 << 16)], (end - start)[low : low + (1 << 16)]
-        short = np.minimum(n, 64)
-        first = np.cumsum(short) - short
-        place = np.arange(short.sum()) - np.repeat(first, short)
-        h[low : low + len(s)] = np.add.reduceat(BYTE[data[np.repeat(s, short) + place]] * POWER[place], first)
+    turns = np.searchsorted(start, np.arange(0, len(data) + TURN, TURN))
+    for turn, (low, high) in enumerate(zip(turns[:-1].tolist(), turns[1:].tolist())):
+        if low == high:
+            continue
+        at = turn * TURN
+        part = BYTE[data[at : at + TURN]]
+        part *= POWER[: len(part)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
+        s, e = start[low:high] - at, end[low:high] - at
+        h[low:high] = (sums[np.minimum(e, len(part))] - sums[s]) * UNDO[s]
+        if e[-1] > TURN:  # the last word goes on in the next turn
+            word = BYTE[data[start[high - 1] : end[high - 1]][:SHORT]]
+            h[high - 1 : high] = (word * POWER[: len(word)]).sum(keepdims=True) * UNDO[:1]
     h = _mixed(h + (end - start).astype(np.uint64))
-    for i in np.flatnonzero(end - start > 64).tolist():
+    for i in np.flatnonzero(end - start > SHORT).tolist():
         h[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
     return start, h
 
@@ -122,27 +132,36 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
 
 
-def token_counts(docs: DataFrame, text_col: str, least: int) -> np.ndarray:
-    """How many lines hold a token of each bucket, tokens of one line counted apart."""
+def token_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How often words of each bucket occur: tasks send the counts of each CHUNK buckets as one row, and others add them."""
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
         for whole in stream:
             for low in range(0, whole.num_rows, 256):
-                np.add.at(counts, (Lines(whole.column(0).slice(low, 256).to_pylist(), least).h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["bucket", "n"])
-
-    sums = docs.select(text_col).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+                coded = b"\n".join((t or "").encode("utf-8", "replace") for t in whole.column(0).slice(low, 256).to_pylist())
+                counts += np.bincount((words(np.frombuffer(coded, np.uint8))[1] & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+        found = np.flatnonzero(counts.reshape(-1, CHUNK).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([counts[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in found.tolist()], pa.binary())], names=["chunk", "n"])
+
+    def added(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in stream:
+            for chunk, n in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(n.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n.tobytes() for n in sums.values()], pa.binary())], names=["chunk", "n"])
+
+    parts = docs.select(text_col).mapInArrow(counted, "chunk int, n binary").repartition("chunk")
     counts = np.zeros(BUCKETS, np.int64)
-    counts[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    for chunk, n in parts.mapInArrow(added, "chunk int, n binary").collect():  # BUCKETS numbers, whatever the input
+        counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(n, np.int64)
     return counts
 
 
 def _lines(source: DataFrame, counts: np.ndarray, t: float, least: int) -> DataFrame:
     rank = np.empty(BUCKETS, np.int32)
     rank[np.lexsort((np.arange(BUCKETS), counts))] = np.arange(BUCKETS)
-    common = counts >= PIECE
+    common = counts >= PIECE  # no fewer than the lines that hold such a word
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
@@ -152,29 +171,30 @@ def _lines(source: DataFrame, counts: np.ndarray, t: float, least: int) -> DataF
                 if not len(lines.n):
                     continue
                 tokens, offsets = lines.prefixes(rank, t)
-                lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, kind))  # noqa: E731, B023
-                hot = common[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                hot = common[(tokens & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.int64) << 32
                 where = pa.array(lines.owner)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(where), batch.column(1).take(where), pa.array(lines.number, pa.int32()), pa.array(lines.classes()), pa.array(lines.n, pa.int32()), pa.array(lines.bitmaps()), lists((tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), pa.int32()), lists(hot, pa.bool_()), *lines.wide()],
-                    names=["doc", "tie", "line", "cls", "n", "sig", "prefix", "hot", *WIDE],
+                    [batch.column(0).take(where), batch.column(1).take(where), pa.array(lines.number, pa.int32()), pa.array(lines.classes()), pa.array(lines.n, pa.int32()), pa.array(lines.bitmaps()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((tokens & np.uint64(0xFFFFFFFF)).view(np.int64) | hot)), *lines.wide()],
+                    names=["doc", "tie", "line", "cls", "n", "sig", "prefix", *WIDE],
                 )
 
-    return source.mapInArrow(run, "doc long, tie long, line int, cls long, n int, sig long, prefix array<int>, hot array<boolean>, w0 long, w1 long, w2 long, w3 long")
+    return source.mapInArrow(run, "doc long, tie long, line int, cls long, n int, sig long, prefix array<long>, w0 long, w1 long, w2 long, w3 long")
 
 
 def _blocks(classes: DataFrame, t: float) -> DataFrame:
     """Rows (key, id, pos, sig): a class in each block of a prefix token. key holds shard and size, in one column that
     sorts fast; pos holds position and side: 2 meets all of its shard; 0 and 1, the pieces of a large block, meet each
     other. Shards whose hashes collide only share a few more pairs that the filters see."""
-    p = classes.select("id", "n", "sig", F.posexplode(F.arrays_zip("prefix", "hot")).alias("i", "x")).select("id", "n", "sig", "i", "x.prefix", "x.hot")
-    large = p.where("hot").groupBy("prefix").count().where(F.col("count") > PIECE).select("prefix", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
-    p = p.join(large, "prefix", "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int"))
-    p = p.withColumn("other", F.explode(F.expr("sequence(0, coalesce(pieces, 1) - 1)")))
+    p = classes.select("id", "n", "sig", F.posexplode("prefix").alias("i", "x"))
+    bucket = F.col("x").bitwiseAND(BUCKETS - 1).cast("int")
+    large = p.where(F.col("x") >= 1 << 32).groupBy(bucket.alias("bucket")).count().where(F.col("count") > PIECE)
+    large = F.broadcast(large.select("bucket", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces")))  # at most BUCKETS rows
+    p = p.join(large, bucket == F.col("bucket"), "left").withColumn("own", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    p = p.withColumn("prefix", F.col("x").bitwiseAND((1 << 32) - 1)).withColumn("other", F.explode(F.expr("sequence(0, coalesce(pieces, 1) - 1)")))
     a, b = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(a == b, 2).when(F.col("own") == a, 0).otherwise(1)
-    shard = F.when(F.col("pieces").isNull(), F.col("prefix")).otherwise(F.hash("prefix", a, b))
-    key = F.shiftleft(shard.cast("long"), 32) + F.col("n")
+    shard = F.when(F.col("pieces").isNull(), F.col("prefix")).otherwise(F.hash("prefix", a, b).cast("long"))
+    key = F.shiftleft(shard, 32) + F.col("n")
     return p.select(key.alias("key"), "id", (F.shiftleft(F.col("i").cast("long"), 2) + side).alias("pos"), "sig")
 
 
@@ -334,34 +354,33 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line is removed if its set of words has Jaccard similarity of at least `similarity` with that of any line before
     it, by document id (integers; null last, equal ids by a hash of the text) and place. Lines of fewer than `least`
     distinct words stay, blank ones among them. A null text stays null and has no lines. Equal rows share their place
-    and so are treated alike. Other columns stay; an empty table gives an empty one. Word and set identity is that of
+    and so are treated alike. Other columns stay, but columns with the names of the two counts are replaced; an empty
+    table gives an empty one. Word and set identity is that of
     64-bit hashes."""
-    spark, source = docs.sparkSession, _source(docs, id_col, text_col)
-    counts = token_counts(docs, text_col, least)
-    released(spark)
+    source = _source(docs, id_col, text_col)
+    counts = token_counts(docs, text_col)
     lines = written(_lines(source, counts, similarity, least), "lines")
-    first = F.min(F.struct("doc", "tie", "line", "n", "sig", "prefix", "hot", *WIDE)).alias("f")
+    first = F.min(F.struct("doc", "tie", "line", "n", "sig", "prefix", *WIDE)).alias("f")
     classes = written(lines.groupBy("cls").agg(first).select("cls", "f.*").withColumn("id", F.monotonically_increasing_id()), "classes")
-    released(spark)
     involved = written(_involved(_blocks(classes, similarity), similarity), "involved")
-    released(spark)
     involved = written(_refined(involved, classes, similarity), "involved")
     need = written(involved.select("id").distinct().join(classes.select("id", "doc", "tie", "line"), "id"), "need")
     tokens = written(_tokens(source, need, least), "tokens")
-    released(spark)
     matched = written(_matched(involved.join(tokens, "id"), similarity), "matched")
     dropped(tokens)
-    released(spark)
     stay = classes.select("cls", "id", F.struct("doc", "tie", "line").alias("first")).join(matched, "id", "left_anti").drop("id")
     gone = lines.select("doc", "tie", "line", "cls").join(stay, "cls", "left").where(F.col("first").isNull() | (F.col("first") != F.struct("doc", "tie", "line")))
-    gone = gone.groupBy("doc", "tie").agg(F.collect_set("line").alias("_gone"))
-    d = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "_tie": F.xxhash64(text_col)})
-    d = d.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_tie") == F.col("tie")), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda k: F.get("_parts", k)), "\n"))
-    d = d.withColumn("_parts", parts).withColumns({"dedup_n_lines": F.coalesce(F.size("_parts"), F.lit(0)).cast("long"), "dedup_n_removed": F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).cast("long"), text_col: text})
-    return d.withColumn("dedup_n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("dedup_n_lines"))).select(*docs.columns, "dedup_n_lines", "dedup_n_removed")
+    gone = gone.groupBy("doc", "tie").agg(F.collect_set("line").alias("gone"))
+    own = [c for c in docs.columns if c not in (text_col, *COUNTS)]
+    doc, tie = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(text_col)
+    d = docs.select(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in own)).alias("own"), doc.alias("doc"), tie.alias("tie"), F.col(text_col).alias("text"))
+    d = d.join(gone, ["doc", "tie"], "left").withColumn("parts", F.split("text", "\n", -1))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get("parts", k)), "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("parts")).cast("long")
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    columns = [text.alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns if c not in COUNTS]
+    return d.select(*columns, *(x.alias(c) for x, c in zip((n_lines, n_removed), COUNTS)))
 
 
 #: DuckDB SQL for the lines of documents that stay; the prefix filter keeps it short of all pairs.

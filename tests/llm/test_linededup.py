@@ -84,3 +84,10 @@ def test_a_large_group_stays_cut_into_pieces(spark, monkeypatch):
     got = L.line_dedup(spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA)).collect()
     assert {r.doc_id for r in got if r.dedup_n_removed == 0} == {0} and len(got) == 400
     assert len(sizes) == 2 and max(sizes) <= 4 * 16  # pieces are dealt by hash: some are over their mean
+
+
+def test_other_columns_of_any_name_stay(spark):
+    names = ["doc_id", "text", "gone", "parts", "doc", "tie", "_doc", "dedup_n_lines", "a.b"]
+    got = L.line_dedup(spark.createDataFrame([(1, "a b c d e", *"stuvwxy"), (2, "a b c d e\nx", *"stuvwxy")], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names)))
+    assert got.columns == [n for n in names if n != "dedup_n_lines"] + ["dedup_n_lines", "dedup_n_removed"]
+    assert sorted(map(tuple, got.collect())) == [(1, "a b c d e", *"stuvw", "y", 1, 0), (2, "x", *"stuvw", "y", 2, 1)]
