@@ -2,7 +2,8 @@
 
 The network reads windows of bytes in both directions, labels every position and pools a document's probabilities over
 all its positions. Its gates and states use x / (1 + |x|) for the usual sigmoid and tangent. It is trained in numpy by
-backpropagation through time on pieces of at most SAMPLE documents for each language.
+backpropagation through time on windows from pieces that lie evenly over the whole texts of at most SAMPLE documents for
+each language.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql.window import Window
 
 from .common import extended, held_out
 
-#: Labelled documents for each language that training may use, and characters of each.
-SAMPLE, PIECE = 600, 400
+#: Labelled documents for each language that training may use, the pieces of each, and characters of a piece.
+SAMPLE, PIECES, PIECE = 600, 8, 96
 HIDDEN, STEPS, BATCH, SPAN, RATE, SEED = 8, 400, 128, 64, 0.01, 7
 #: Bytes of a window, windows of a pass.
 WINDOW, PASS = 128, 1024
@@ -194,21 +195,22 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """A network from documents outside the held-out fifth with a language and a letter: a piece of at most SAMPLE of
-    them for each language, those of lowest hash. None without any."""
+    """A network from documents outside the held-out fifth with a language and a letter: at most SAMPLE of them for each
+    language, those of lowest hash, by PIECES pieces from the start to the end of the text. None without any."""
     d = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     order = F.xxhash64(F.col(id_col).cast("string"), F.lit(SEED))
-    start = F.pmod(order, F.greatest(F.lit(1), F.length(text_col) - PIECE)).cast("int") + 1
-    d = d.select(F.col(lang_col).alias("lang"), order.alias("o"), F.substring(F.col(text_col), start, F.lit(PIECE)).alias("piece"))
+    free = F.greatest(F.lit(0), F.length(text_col) - PIECE)
+    pieces = F.array(*(F.substring(F.col(text_col), (free * i / (PIECES - 1)).cast("int") + 1, F.lit(PIECE)) for i in range(PIECES)))
+    d = d.select(F.col(lang_col).alias("lang"), order.alias("o"), pieces.alias("pieces"))
     # a language may have most documents: first the lowest of each salt, then of those
     for part in (["lang", F.pmod("o", F.lit(64))], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*part).orderBy("o", "piece"))
-        d = d.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("lang", "o", "piece")
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy("o", "pieces"))
+        d = d.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("lang", "o", "pieces")
     rows = sorted(tuple(r) for r in d.collect())
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})
-    return train([r[2].encode() for r in rows], [langs.index(r[0]) for r in rows], langs)
+    return train([p.encode() for r in rows for p in r[2]], [langs.index(r[0]) for r in rows for _ in r[2]], langs)
 
 
 def identified(docs: DataFrame, net: Network | None, text_col: str = "text", prefix: str = "") -> DataFrame:

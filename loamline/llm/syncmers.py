@@ -1,10 +1,11 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is a closed syncmer if the least of its inner s-mers (by hash) stands first or last. Whether it
-is one depends on the k-mer alone, so an edit changes only the anchors it touches. A fingerprint holds all
-anchors of the text, or those of the `size` lowest hashes, each with its position; a text with fewer than FEW also gives shorter anchors,
-and one without any gives its own hash. Two fingerprints are compared by the anchors they share in the same order: the
-longest chain of rising positions, as a share of the lowest hashes of both.
+is one depends on the k-mer alone, so an edit changes only the anchors it touches. A fingerprint holds all long
+anchors of the text, or those of the `size` lowest hashes, each with its position; a text of at most BRIEF code points
+gives short ones besides. Two fingerprints are compared by the anchors they share in the same order: the longest chain
+of rising positions, as a share of the lowest hashes of both. Both sides of a comparison have one kind: the short anchors
+if both texts have them, the long ones otherwise, so a likeness never falls because one text alone passes BRIEF.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import batches
 
-SIZE, FEW = 64, 8
-#: k, s of the anchors, and of the shorter ones for short texts.
-LONG, SHORT, LEAST = (24, 8), (8, 4), (4, 4)
+SIZE, BRIEF = 64, 512
+#: k, s of the anchors, and of the shorter ones of brief texts.
+LONG, SHORT = (24, 8), (8, 4)
 BLOCK = 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,27 +68,32 @@ def closed(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     return at, (_mixed(whole ^ np.uint64(k)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _anchors(codes: np.ndarray, k: int, s: int, size: int | None) -> str:
+    h, position = np.empty(0, np.uint32), np.empty(0, np.int64)
+    for at in range(0, max(1, len(codes) - k + 1), BLOCK):
+        place, more = closed(codes[at : at + BLOCK + k - 1], k, s)
+        h, first = np.unique(np.concatenate([h, more]), return_index=True)
+        h, position = h[:size], np.concatenate([position, place + at])[first][:size]
+    return np.stack([h.astype(">u4"), position.astype(">u4")], axis=1).tobytes().hex()
+
+
 def fingerprint(text: str, size: int | None = SIZE) -> str:
-    """Hash and position of each anchor, 8 hexadecimal digits each, by rising hash; of repeated anchors the first. Empty
-    for an empty text. size: how many at most; None for all, without which a passage leaves no trace in a long text."""
+    """Hash and position of each long anchor, 8 hexadecimal digits each, by rising hash; of repeated anchors the first.
+    A text of at most BRIEF code points has a dot and its short anchors after them (of less than 8 code points: its own
+    hash). Empty for an empty text. size: how many of each at most; None for all, without which a passage leaves no trace
+    in a long text."""
     if not text:
         return ""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    found: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint32), np.empty(0, np.int64))
-    for k, s in (LONG, SHORT, LEAST):
-        for at in range(0, max(1, len(codes) - k + 1), BLOCK):
-            place, h = closed(codes[at : at + BLOCK + k - 1], k, s)
-            h, first = np.unique(np.concatenate([found[0], h]), return_index=True)
-            found = (h[:size], np.concatenate([found[1], place + at])[first][:size])
-        if len(found[0]) >= FEW:
-            break
-    if not len(found[0]):
-        found = (np.array([int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:4], "big")], np.uint32), np.zeros(1, np.int64))
-    return np.stack([found[0].astype(">u4"), found[1].astype(">u4")], axis=1).tobytes().hex()
-
-
-def anchors(print_: str) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.frombuffer(bytes.fromhex(print_), ">u4").reshape(-1, 2)
+    long = _anchors(codes, *LONG, size)
+    if len(codes) > BRIEF:
+        return long
+    short = _anchors(codes, *SHORT, size) if len(codes) >= SHORT[0] else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()[:8] + "0" * 8
+    return f"{long}.{short}"
+
+
+def anchors(part: str) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.frombuffer(bytes.fromhex(part), ">u4").reshape(-1, 2)
     return pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
 
 
@@ -96,7 +102,8 @@ def likeness(a: str, b: str, size: int | None = SIZE) -> float:
     Jaccard similarity of their anchors, estimated where size limits the fingerprints; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    (ha, pa_), (hb, pb) = anchors(a), anchors(b)
+    part = -1 if "." in a and "." in b else 0
+    (ha, pa_), (hb, pb) = (anchors(x.split(".")[part]) for x in (a, b))
     _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     if not len(i):
         return 0.0

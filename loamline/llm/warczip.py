@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import batches, new_path, written
 
 PACKAGE, LEVEL, READ = 32 << 20, 1, 1 << 20
+#: Tasks that read packages, at most; beyond that one reads several.
+TASKS = 10_000
 RECORDS, INDEX = "records.warc.gz", "index.cdx"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -232,7 +234,8 @@ def scan(packages: DataFrame, payloads: bool = False) -> DataFrame:
         paths = (x.as_py() for b in stream for x in b.column(0))
         return batches((r for p in paths for r in records(p)), arrow, 256 if payloads else 2048)
 
-    return packages.select("path").repartition("path").mapInArrow(run, schema)
+    n = packages.count()  # a partition count of our own, which adaptive execution does not merge
+    return packages.select("path").repartition(max(1, min(n, TASKS)), "path").mapInArrow(run, schema)
 
 
 def archived(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:

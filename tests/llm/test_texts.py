@@ -48,6 +48,17 @@ def test_blocks_do_not_change_a_fingerprint(monkeypatch):
     assert S.fingerprint(text) == whole and len(whole) == S.SIZE * 16
 
 
+def test_likeness_has_no_cliff_at_brief_texts():
+    """A text and its edit on the two sides of BRIEF, and all lengths about it, keep a likeness of about two thirds."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9)))
+    for n in [60, 90, 120, 160, 240, 400, 500, 511, 512, 513, 514, 520, 600, 700]:
+        a, b = (" ".join(word() for _ in range(300))[:n] for _ in range(2))
+        for other in (b, b[: n // 6]):  # the edit is as long, or shorter
+            edited = a[: n - n // 3] + other[: n // 3]
+            assert S.likeness(S.fingerprint(a, None), S.fingerprint(edited, None), None) > 0.45, n
+
+
 def test_likeness():
     rng = np.random.default_rng(2)
     make = lambda n: "".join(rng.choice(list("abcdefghij "), n))
