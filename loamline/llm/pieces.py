@@ -4,10 +4,15 @@ The automaton reports, at each position, all pieces that end there (it follows t
 score of that position from the position where it starts. Equal scores keep the longest piece. A character that is no
 piece costs UNKNOWN less than the least score and becomes its UTF-8 bytes' pieces. No piece of these vocabularies goes on
 past the end of a word, so the text is cut before each run of word marks and a worker keeps the ids of words it has met.
+
+Scores: where the file's are merge ranks (unlike integers from 0 down), whose sums mean nothing, a piece of rank r gets
+-log(RANK + r), the log-probability of a Zipf-Mandelbrot law up to a constant; other files' scores are taken as they are.
+A word mark that stands in the text itself becomes its bytes' pieces, so that decoding gives it back.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from collections.abc import Iterator
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import extended
 
-MODEL, MARK, UNKNOWN = "piece_bpe_32k.model", "▁", 10.0
+MODEL, MARK, UNKNOWN, RANK = "piece_bpe_32k.model", "▁", 10.0, 100
 #: Words whose ids a worker keeps, and the longest of them.
 CACHE, LONGEST = 200_000, 64
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -36,6 +41,9 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.automaton = ahocorasick.Automaton()
         self.bytes, self.shown, least, across = {}, [], 0.0, False
+        plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        listed = [x for x in map(model.get_score, plain) if x > -1e8]
+        ranked = len(set(listed)) == len(listed) and all(x <= 0 and x == int(x) for x in listed)
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -44,13 +52,14 @@ class Pieces:
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.shown.append(b"")
             else:
-                score = model.get_score(i)
+                score = -math.log(RANK - model.get_score(i)) if ranked else model.get_score(i)
                 self.automaton.add_word(piece, (len(piece), i, score))
                 self.shown.append(piece.replace(MARK, " ").encode())
                 least = min(least, score) if score > -1e8 else least
                 across |= MARK in piece.lstrip(MARK)
         self.automaton.make_automaton()
         self.unknown, self.across, self.words = least - UNKNOWN, across, {}
+        self.mark = np.array([self.bytes[b] for b in MARK.encode()], "<i4").tobytes() if self.bytes else None
 
     @classmethod
     def of(cls, name: str) -> Pieces:
@@ -92,7 +101,13 @@ class Pieces:
         """Ids as little-endian 32-bit integers; none for an empty text."""
         if not text:
             return b""
-        marked = MARK + text.replace(" ", MARK)
+        first, *rest = text.split(MARK) if self.mark else [text]
+        out = self._encode(MARK + first.replace(" ", MARK))
+        for part in rest:
+            out += [self.mark, *self._encode(part.replace(" ", MARK))]
+        return b"".join(out)
+
+    def _encode(self, marked: str) -> list[bytes]:
         out, words = [], self.words
         for w in [marked] if self.across else _WORD.findall(marked):
             ids = words.get(w)
@@ -101,7 +116,7 @@ class Pieces:
                 if len(w) <= LONGEST and len(words) < CACHE:
                     words[w] = ids
             out.append(ids)
-        return b"".join(out)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.shown.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
@@ -130,7 +145,7 @@ def encoded(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids",
 
 
 def decoded(rows: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
-    """rows with out_col, the text of the ids; null for null. What was a word mark in the text comes back as a space."""
+    """rows with out_col, the text of the ids, equal to what was encoded; null for null."""
     kept = rows.drop(out_col)
     schema = extended(kept, f"`{out_col}` string")
     where = kept.columns.index(ids_col)
@@ -158,7 +173,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 batch = whole.slice(low, 512)
                 texts = batch.column(1).to_pylist()
                 ids = [np.frombuffer(pieces.encode(t), "<i4") for t in texts]
-                same = [pieces.decode(i) == t.replace(MARK, " ") for i, t in zip(ids, texts)]
+                same = [pieces.decode(i) == t for i, t in zip(ids, texts)]
                 n = np.array([len(i) for i in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), lists, pa.array(same)], names=["doc_id", "n_tokens", "ids", "round_trip"])
