@@ -6,11 +6,14 @@ Plain files have no MERGE, so a change returns the new table; the caller writes
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import falsy_to, file_extension, moved_path, role
+from ..session import written
 from .search import first_of_each
 
 KEY = ["tenant_id", "source_type", "source_ref"]
@@ -92,8 +95,9 @@ def upserted(old: DataFrame, new: DataFrame, metadata: list[str], states: list[s
 
 
 def with_status(files: DataFrame, changes: DataFrame, at: Column | None = None) -> DataFrame:
-    """files after changes (natural key, status, error): indexed sets indexed_at and clears the error."""
-    c = first_of_each(changes, KEY, ["status"])
+    """files after changes (natural key, status, error and, where there may be several of a file, at): the newest change
+    of each counts. indexed sets indexed_at and clears the error."""
+    c = first_of_each(changes, KEY, [*([F.desc("at")] if "at" in changes.columns else []), "status"]).drop("at")
     f = files.join(c, KEY, "left")
     hit, now = F.col("status").isNotNull(), at if at is not None else F.current_timestamp()
     out = {"index_status": F.when(hit, F.col("status")).otherwise(F.col("index_status")), "index_error": F.when(F.col("status") == "indexed", F.lit(None)).when(hit, F.col("error")).otherwise(F.col("index_error"))}
@@ -120,23 +124,24 @@ def renamed_file(tables: dict[str, DataFrame], old_id: str, new_id: str, new_nam
 
 def cascaded_delete(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """tables without all that belongs to the files gone (tenant_id, file_id), and how many rows each lost. Image rows
-    (chunks of type image_analysis without a file) go with the chunk they name in document_id."""
+    (chunks of type image_analysis without a file) go with the chunk they name in document_id. Only the rows that go
+    are counted."""
     left, lost = {}, []
-    chunks = tables.get("chunks")
+    g = gone.select(F.col("tenant_id").alias("_t"), F.col("file_id").alias("_f")).distinct()
     for name, df in tables.items():
         key = "source_ref" if "source_ref" in df.columns else "file_id"
-        g = gone.select(F.col("tenant_id").alias("_t"), F.col("file_id").alias("_f"))
         cond = (F.col("tenant_id") == F.col("_t")) & (F.col(key) == F.col("_f"))
-        keep = df.join(g, cond, "left_anti")
+        keep, going = df.join(g, cond, "left_anti"), [df.join(g, cond, "left_semi")]
         if name == "chunks" and "document_id" in df.columns:
-            parents = chunks.join(g, cond, "left_semi").select(F.col("id").alias("_p"))
-            keep = keep.join(parents, (F.col("type") == "image_analysis") & (F.col("document_id") == F.col("_p")), "left_anti")
+            parents = going[0].select(F.col("id").alias("_p"))
+            child = (F.col("type") == "image_analysis") & (F.col("document_id") == F.col("_p"))
+            going.append(keep.where("document_id is not null").join(parents, child, "left_semi"))
+            keep = keep.join(parents, child, "left_anti")
         left[name] = keep
-        lost.append(df.select(F.lit(name).alias("target"), F.lit(1).alias("n")).unionByName(keep.select(F.lit(name).alias("target"), F.lit(-1).alias("n"))))
-    all_ = lost[0]
-    for x in lost[1:]:
-        all_ = all_.unionByName(x)
-    return left, all_.groupBy("target").agg(F.sum("n").alias("n_deleted"))
+        lost += [x.select(F.lit(name).alias("target")) for x in going]
+    none = gone.sparkSession.createDataFrame([(n,) for n in tables], "target string")
+    some = reduce(DataFrame.unionByName, lost).groupBy("target").agg(F.count("*").alias("n_deleted"))
+    return left, none.join(some, "target", "left").select("target", F.coalesce("n_deleted", F.lit(0)).alias("n_deleted"))
 
 
 def routes(files: DataFrame) -> DataFrame:
@@ -151,16 +156,18 @@ def may_delete(is_admin: Column, source_type: Column, uploaded_by: Column, user:
     return F.coalesce(is_admin, F.lit(False)) | ((source_type == "upload") & F.coalesce(uploaded_by == user, F.lit(False)))
 
 
-def folder_tree(nodes: DataFrame, depth: int = 32) -> DataFrame:
-    """(id, path, level) of a table (id, parent_id, name) from its roots down: one join a level, until a level is empty.
-    The levels are few; their rows stay distributed."""
-    n = nodes.select(F.col("id").alias("c_id"), F.col("parent_id").alias("c_parent"), F.col("name").alias("c_name"))
-    level = nodes.where("parent_id is null").select("id", F.col("name").alias("path"), F.lit(0).alias("level"))
-    out = level
-    for d in range(1, depth):
-        level = level.join(n, F.col("c_parent") == F.col("id")).select(F.col("c_id").alias("id"), F.concat("path", F.lit("/"), F.col("c_name")).alias("path"), F.lit(d).alias("level"))
-        if level.isEmpty():
-            break
+def folder_tree(nodes: DataFrame) -> DataFrame:
+    """(id, path, level) of a table (id, parent_id, name) from its roots down, however deep: one join a level, each level
+    written before the next, until a level is empty. An id that is its own ancestor is an error."""
+    n = written(nodes.select(F.col("id").alias("c_id"), F.col("parent_id").alias("c_parent"), F.col("name").alias("c_name")))
+    most = n.count()
+    level = written(n.where("c_parent is null").select(F.col("c_id").alias("id"), F.col("c_name").alias("path"), F.lit(0).alias("level")))
+    out, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        if depth > most:
+            raise ValueError("the folders form a cycle")
+        level = written(level.join(n, F.col("c_parent") == F.col("id")).select(F.col("c_id").alias("id"), F.concat("path", F.lit("/"), F.col("c_name")).alias("path"), F.lit(depth).alias("level")))
         out = out.unionByName(level)
     return out
 

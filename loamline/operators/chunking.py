@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
@@ -25,12 +25,18 @@ def fixed_token_chunks(docs: DataFrame, text_col: str = "content", size: int = 5
     """Windows of `size` words, each `size - overlap` (at least 1) words on from the last, until one reaches the end.
     Texts without words have no chunks."""
     step = max(1, size - overlap)
-    d = docs.withColumn("_w", F.split(F.regexp_replace(F.col(text_col), r"^\s+|\s+$", ""), r"\s+"))
-    d = d.where(F.col("_w").isNotNull() & (F.array_join("_w", "") != ""))
-    m = (1 + F.ceil(F.greatest(F.size("_w") - size, F.lit(0)) / step)).cast("long")
-    d = d.withColumn("total_chunks", m).withColumn("chunk_index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_chunks") - 1)))
-    body = F.array_join(F.slice("_w", (F.col("chunk_index") * step + 1).cast("int"), F.lit(size)), " ")
-    return d.select(*[c for c in docs.columns if c != text_col], "chunk_index", "total_chunks", body.alias(text_col))
+    words = F.split(F.regexp_replace(F.col(text_col), r"^\s+|\s+$", ""), r"\s+")
+
+    def windows(w: Column) -> Column:
+        m = 1 + F.ceil(F.greatest(F.size(w) - size, F.lit(0)) / step).cast("int")
+        some = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
+        return F.when(F.array_join(F.slice(w, 1, 2), "") != "", some)
+
+    # the words are bound once, and a document's rows carry its chunks only
+    chunks = F.transform(F.array(words), windows)[0]
+    d = docs.select(*[c for c in docs.columns if c != text_col], chunks.alias("_chunks"))
+    d = d.select("*", F.size("_chunks").cast("long").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", text_col))
+    return d.select(*[c for c in docs.columns if c != text_col], F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks", text_col)
 
 
 # --- splitters on one text: (start, text) pieces in order ---
@@ -205,15 +211,16 @@ def box_union(blocks, start, end) -> F.Column:
     return F.when(F.size(hit) > 0, F.transform(box, lambda x: F.round(x, 2)))
 
 
-def boxes_by_join(chunks: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """The same for blocks in a table: an equality on file and page with the overlap as residual condition. chunks: keys,
-    chunk_index, start, end; blocks: keys, offset, length, x0, y0, x1, y1."""
-    c, b = chunks.alias("c"), blocks.alias("b")
-    on = [F.col(f"c.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("b.offset") < F.col("c.end"), F.col("b.offset") + F.col("b.length") > F.col("c.start")]
-    cond = on[0]
-    for x in on[1:]:
-        cond = cond & x
+def boxes_by_join(chunks: DataFrame, blocks: DataFrame, keys: list[str], cell: int = 1024) -> DataFrame:
+    """The same for blocks in a table. chunks: keys, chunk_index, start, end; blocks: keys, offset, length, x0, y0, x1, y1.
+    Both are dealt to cells of `cell` characters and meet in the first cell they share, so the work grows with the
+    overlaps of a file, not with the square of its length."""
+    c = chunks.withColumn("_low", F.floor(F.col("start") / cell)).where(F.col("end") > F.col("start"))
+    c = c.withColumn("_cell", F.explode(F.sequence("_low", F.floor((F.col("end") - 1) / cell)))).alias("c")
+    b = blocks.withColumn("_low", F.floor(F.col("offset") / cell)).where(F.col("length") > 0)
+    b = b.withColumn("_cell", F.explode(F.sequence("_low", F.floor((F.col("offset") + F.col("length") - 1) / cell)))).alias("b")
+    cond = (F.col("b.offset") < F.col("c.end")) & (F.col("b.offset") + F.col("b.length") > F.col("c.start")) & (F.col("c._cell") == F.greatest("c._low", "b._low"))
+    for k in [*keys, "_cell"]:
+        cond &= F.col(f"c.{k}") == F.col(f"b.{k}")
     sides = [F.round(f(F.col(f"b.{s}")), 2).alias(s) for s, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))]
     return c.join(b, cond).groupBy(*[F.col(f"c.{k}") for k in keys], F.col("c.chunk_index")).agg(*sides, F.count("*").alias("n_blocks"))
-
-

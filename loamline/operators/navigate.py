@@ -37,14 +37,14 @@ def page_range(pages: DataFrame, spec: str) -> DataFrame:
     return pages.where(F.col("page_number").isin(page_set(spec)))
 
 
-def full_text(chunks: DataFrame, keys: list[str], index: str = "chunk_index", content: str = "content", most: int = 2000) -> DataFrame:
-    """Each file's text from its chunks in number order, with chunk_count and total_chars; empty chunks are left out,
-    and of a file the first `most` chunks are read."""
-    n = lenient_int(F.col(index), 0)
-    c = chunks.where(F.coalesce(F.col(content), F.lit("")) != "").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(n, content)))
-    parts = F.array_sort(F.collect_list(F.struct(F.col("_n"), F.col(content).alias("t"))))
-    g = c.where(F.col("_n") <= most).groupBy(*keys).agg(F.count("*").alias("chunk_count"), parts.alias("p"))
-    return g.withColumn("full_text", strip(F.array_join(F.transform("p", lambda x: x["t"]), "\n"))).withColumn("total_chars", F.length("full_text").cast("long")).drop("p")
+def full_text(chunks: DataFrame, keys: list[str], index: str = "chunk_index", content: str = "content", most: int | None = 2000) -> DataFrame:
+    """Each file's text from its chunks in number order, with chunk_count and total_chars; empty chunks are left out. Of
+    a file the first `most` chunks are read (None: all), and truncated says whether there are more."""
+    part = F.struct(lenient_int(F.col(index), 0).alias("n"), F.col(content).alias("t"))
+    g = chunks.where(F.coalesce(F.col(content), F.lit("")) != "").groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("all"))
+    g = g.withColumn("p", F.slice("all", 1, most) if most is not None else F.col("all"))
+    g = g.withColumns({"chunk_count": F.size("p").cast("long"), "full_text": strip(F.array_join(F.transform("p", lambda x: x["t"]), "\n"))})
+    return g.withColumns({"total_chars": F.length("full_text").cast("long"), "truncated": F.size("all") > F.size("p")}).drop("p", "all")
 
 
 def literal(pattern: str) -> str:
@@ -71,10 +71,10 @@ def matches(pages: DataFrame, pattern: str, regex: bool = False, case_sensitive:
     schema = StructType([*pages.select(*rest).schema.fields, *StructType.fromDDL(_MATCH).fields])
 
     def found(text: str) -> Iterator[tuple]:
-        lines, n = text.split("\n"), 0
+        lines, n, line, at = text.split("\n"), 0, 1, 0
         for m in compiled.finditer(text):
             n += 1
-            line = text.count("\n", 0, m.start()) + 1
+            line, at = line + text.count("\n", at, m.start()), m.start()
             left, right = max(0, m.start() - radius), min(len(text), m.end() + radius)
             snippet = ("…" if left else "") + text[left:right].replace("\n", " ").strip() + ("…" if right < len(text) else "")
             yield line, m[0], snippet, "\n".join(lines[max(0, line - 1 - context) : line + context]) if context else "", n
@@ -147,11 +147,12 @@ def mapped_batches(batches: DataFrame, model: Column, kind: str = "summary") ->
 
 
 def assembled(batches: DataFrame, title: str = "file_id", limit: int = 200_000) -> DataFrame:
-    """Each file's answers under headings, in batch order: text, ok_batches, n_batches, whether all were answered."""
+    """Each file's answers under headings, in batch order: text, ok_batches, n_batches, failed (the labels of batches
+    without an answer), complete (whether all were answered) and truncated (whether text was cut at `limit` characters)."""
     part = F.when(F.col("ok"), F.struct("batch", F.concat(F.lit("### p."), "label", F.lit("\n\n"), "answer").alias("t")))
-    g = batches.groupBy(*FILE).agg(F.count("*").alias("n_batches"), F.count_if("ok").alias("ok_batches"), F.array_sort(F.collect_list(part)).alias("p"))
+    g = batches.groupBy(*FILE).agg(F.count("*").alias("n_batches"), F.count_if("ok").alias("ok_batches"), F.array_sort(F.collect_list(part)).alias("p"), F.transform(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.struct("batch", "label")))), lambda x: x["label"]).alias("failed"))
     text = F.concat(F.lit("## "), F.col(title), F.lit("\n\n"), F.array_join(F.transform("p", lambda x: x["t"]), "\n\n"))
-    return g.withColumns({"text": F.substring(text, 1, limit), "complete": F.col("ok_batches") == F.col("n_batches")}).drop("p")
+    return g.withColumns({"text": F.substring(text, 1, limit), "truncated": F.length(text) > limit, "complete": F.col("ok_batches") == F.col("n_batches")}).drop("p")
 
 
 def cached(wanted: DataFrame, cache: DataFrame, batch_size: int) -> tuple[DataFrame, DataFrame]:

@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.text import normalised, nul_free
+from ..functions.text import normalised, nul_free, strip
 from .search import first_of_each
 
 PRIMITIVES = ("string", "tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
@@ -68,8 +69,9 @@ def flat_metadata(chunks: DataFrame) -> DataFrame:
 
 
 def merged_by_id(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """An upsert: old rows without a new one, and the new ones."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    """An upsert: old rows without a new one, and the new ones; of new rows with one id, that of the largest hash."""
+    one = first_of_each(new, [key], [F.xxhash64(*new.columns).desc()])
+    return old.join(one.select(key), key, "left_anti").unionByName(one)
 
 
 def replaced_pages(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -77,6 +79,25 @@ def replaced_pages(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("tenant_id", "file_id").distinct(), ["tenant_id", "file_id"], "left_anti").unionByName(new)
 
 
+def page_rows(pages: DataFrame, meta: list[str] | None = None) -> DataFrame:
+    """Pages (tenant_id, file_id, content, in the order of `seq`) ready to store: numbered from 1, without NULs and outer
+    white space; blank ones go but keep their numbers. meta: the columns kept as page_meta."""
+    w = Window.partitionBy("tenant_id", "file_id").orderBy("seq")
+    p = pages.withColumns({"page_number": F.row_number().over(w), "content": strip(nul_free(F.col("content")))})
+    kept = F.struct(*(F.col(c) for c in meta if c in pages.columns)) if meta else F.lit(None)
+    return p.where("content <> ''").select("tenant_id", "file_id", "page_number", "content", kept.alias("page_meta"))
+
+
+def invalidated(cache: DataFrame, changed: DataFrame) -> DataFrame:
+    """Cached results (tenant_id, file_id, ...) of files that were not read again (changed: tenant_id, file_id)."""
+    return cache.join(changed.select("tenant_id", "file_id").distinct(), ["tenant_id", "file_id"], "left_anti")
+
+
+def reindexed(pages: DataFrame, caches: dict[str, DataFrame], new: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Pages with those of the files in new replaced, and every cache without what was made from the old pages."""
+    return replaced_pages(pages, new), {name: invalidated(c, new) for name, c in caches.items()}
+
+
 def image_rows(chunks: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From chunks (id, chunk_index, image_analysis array of struct image_id, analysis, image_url) and extracted images
     (image_id): a caption row for each image of its first chunk, and a link for each chunk and image."""

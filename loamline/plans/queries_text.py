@@ -50,11 +50,12 @@ def hybrid(spark: SparkSession, sf: str) -> DataFrame:
 
 def bbox_union(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes of chunks of 150 characters over blocks of 60."""
-    d = table(spark, sf, "documents").where("n_chars > 0")
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n_chars") / 60).cast("int") - 1), lambda i: F.struct((i * 60).alias("offset"), F.lit(60).alias("length"), F.array((i % 7).cast("double"), i.cast("double"), (i % 7 + 10).cast("double"), (i + 1).cast("double")).alias("bbox")))
-    c = d.withColumn("blocks", blocks).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_chars") / 150).cast("int") - 1)))
-    c = c.withColumn("box", C.box_union(F.col("blocks"), F.col("chunk_index") * 150, (F.col("chunk_index") + 1) * 150))
-    return c.select("doc_id", "chunk_index", *(F.col("box")[i].alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
+    d = table(spark, sf, "documents").where("n_chars > 0").select("doc_id", "n_chars")
+    i = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_chars") / 60).cast("int") - 1))
+    blocks = d.select("doc_id", i.alias("i")).select("doc_id", (F.col("i") * 60).alias("offset"), F.lit(60).alias("length"), (F.col("i") % 7).cast("double").alias("x0"), F.col("i").cast("double").alias("y0"), (F.col("i") % 7 + 10).cast("double").alias("x1"), (F.col("i") + 1).cast("double").alias("y1"))
+    chunks = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_chars") / 150).cast("int") - 1)).alias("chunk_index"))
+    chunks = chunks.withColumns({"start": F.col("chunk_index") * 150, "end": (F.col("chunk_index") + 1) * 150})
+    return C.boxes_by_join(chunks, blocks, ["doc_id"]).drop("n_blocks")
 
 
 BBOX_SQL = """WITH b AS (SELECT doc_id, i, i * 60 AS o FROM (SELECT doc_id, unnest(range(ceil(n_chars / 60.0)::BIGINT)) AS i FROM documents)),
@@ -64,13 +65,12 @@ FROM c JOIN b ON b.doc_id = c.doc_id AND b.o < (chunk_index + 1) * 150 AND b.o +
 
 
 def by_indices(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of a file by number, given as text; what is no number matches none."""
+    """Chunks of every file by number, given as text; what is no number matches none."""
     wanted = [T.lenient_int(F.lit(x), -1) for x in ("0", "2", "x", "10")]
-    c = V.chunks(spark, sf).where(F.col("file_id").isin("1", "3", "22"))
-    return c.where(F.col("chunk_index").cast("int").isin(*wanted)).orderBy("file_id", "chunk_index").select("file_id", "chunk_index", "content")
+    return V.chunks(spark, sf).where(F.col("chunk_index").cast("int").isin(*wanted)).select("file_id", "chunk_index", "content")
 
 
-INDICES_SQL = f"WITH {V.chunks_sql()} SELECT file_id, chunk_index, content FROM kb_chunks WHERE file_id IN ('1', '3', '22') AND chunk_index IN (0, 2, 10)"
+INDICES_SQL = f"WITH {V.chunks_sql()} SELECT file_id, chunk_index, content FROM kb_chunks WHERE chunk_index IN (0, 2, 10)"
 
 
 def chunk_metadata(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +85,7 @@ METADATA_SQL = f"WITH {V.chunks_sql()} SELECT file_id, chunk_index, CASE WHEN ch
 
 def rebuilt(spark: SparkSession, sf: str) -> DataFrame:
     p = V.pages(spark, sf).withColumn("chunk_index", (F.col("page_number") - 1).cast("string"))
-    return N.full_text(p, ["file_id"]).select("file_id", "chunk_count", "total_chars", "full_text")
+    return N.full_text(p, ["file_id"], most=None).select("file_id", "chunk_count", "total_chars", "full_text")
 
 
 REBUILT_SQL = f"""WITH {V.PAGES}, g AS (SELECT file_id, count(*) AS chunk_count, trim(string_agg(content, chr(10) ORDER BY page_number), {_WS}) AS full_text FROM kb_pages WHERE content <> '' GROUP BY file_id)
@@ -125,24 +125,24 @@ SELECT tenant_id, file_name, n_pages, remaining <= 0 OR length(c) > remaining AS
 
 
 def batches(spark: SparkSession, sf: str) -> DataFrame:
-    return N.page_batches(V.pages(spark, sf), 5, 300).select("file_id", "batch", "first_page", "last_page", "n_pages", "label", "batch_text")
+    return N.page_batches(V.pages(spark, sf), 5).select("file_id", "batch", "first_page", "last_page", "n_pages", "label", "batch_text")
 
 
-BATCHES_SQL = f"""WITH {V.PAGES}, n AS (SELECT *, ((row_number() OVER (PARTITION BY tenant_id, file_id ORDER BY page_number) - 1) // 5)::INT AS batch, CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || chr(10) || '[...해당 페이지 본문 길이 초과로 일부 생략...]' ELSE content END AS body FROM kb_pages)
+BATCHES_SQL = f"""WITH {V.PAGES}, n AS (SELECT *, ((row_number() OVER (PARTITION BY tenant_id, file_id ORDER BY page_number) - 1) // 5)::INT AS batch, CASE WHEN length(content) > 8000 THEN substr(content, 1, 8000) || chr(10) || '[...해당 페이지 본문 길이 초과로 일부 생략...]' ELSE content END AS body FROM kb_pages)
 SELECT file_id, batch, min(page_number) AS first_page, max(page_number) AS last_page, count(*) AS n_pages, CASE WHEN count(*) > 1 THEN min(page_number) || '-' || max(page_number) ELSE min(page_number)::VARCHAR END AS label,
 coalesce(string_agg('## p.' || page_number || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY page_number) FILTER (WHERE trim(body, {_WS}) <> ''), '') AS batch_text FROM n GROUP BY file_id, batch"""
 
 
 def summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Batches through a stand-in model (the batch's first 40 characters behind a label), cleaned and assembled."""
+    """Batches through a stand-in model (the whole batch on one line, behind a label), cleaned and assembled."""
     b = N.page_batches(V.pages(spark, sf), 3)
-    b = N.mapped_batches(b, F.concat(F.lit("Summary: "), F.substring(F.regexp_replace("batch_text", r"\s+", " "), 1, 40)))
-    return N.assembled(b).select("file_id", "n_batches", "ok_batches", "complete", "text")
+    b = N.mapped_batches(b, F.concat(F.lit("Summary: "), F.regexp_replace("batch_text", r"\s+", " ")))
+    return N.assembled(b).select("file_id", "n_batches", "ok_batches", "complete", "truncated", "text")
 
 
 SUMMARY_SQL = f"""WITH {V.PAGES}, n AS (SELECT *, ((row_number() OVER (PARTITION BY tenant_id, file_id ORDER BY page_number) - 1) // 3)::INT AS batch FROM kb_pages),
-b AS (SELECT file_id, batch, count(*) AS c, min(page_number) AS lo, max(page_number) AS hi, trim(substr(regexp_replace(string_agg('## p.' || page_number || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY page_number) FILTER (WHERE trim(content, {_WS}) <> ''), '\\s+', ' ', 'g'), 1, 40)) AS answer FROM n GROUP BY file_id, batch)
-SELECT file_id, count(*) AS n_batches, count(*) FILTER (WHERE answer <> '') AS ok_batches, count(*) = count(*) FILTER (WHERE answer <> '') AS complete,
+b AS (SELECT file_id, batch, count(*) AS c, min(page_number) AS lo, max(page_number) AS hi, trim(regexp_replace(string_agg('## p.' || page_number || chr(10) || chr(10) || content, chr(10) || chr(10) ORDER BY page_number) FILTER (WHERE trim(content, {_WS}) <> ''), '\\s+', ' ', 'g')) AS answer FROM n GROUP BY file_id, batch)
+SELECT file_id, count(*) AS n_batches, count(*) FILTER (WHERE answer <> '') AS ok_batches, count(*) = count(*) FILTER (WHERE answer <> '') AS complete, false AS truncated,
 '## ' || file_id || chr(10) || chr(10) || string_agg('### p.' || CASE WHEN c > 1 THEN lo || '-' || hi ELSE lo::VARCHAR END || chr(10) || chr(10) || answer, chr(10) || chr(10) ORDER BY batch) AS text FROM b GROUP BY file_id"""
 
 
@@ -207,15 +207,15 @@ UNION ALL SELECT 'd' || doc_id, i::INT, '', length(substr(text, i * 6000 + 1, 60
 
 
 def contexts(spark: SparkSession, sf: str) -> DataFrame:
-    """A prompt's context from the first three chunks of each file."""
-    c = V.chunks(spark, sf).where("chunk_index < 3")
-    block = T.context_block(F.col("chunk_index") + 1, F.col("file_id"), F.lit(None), F.lit(None), F.col("chunk_index"), F.substring("content", 1, 80))
+    """A prompt's context from all chunks of each file, whole."""
+    c = V.chunks(spark, sf)
+    block = T.context_block(F.col("chunk_index") + 1, F.col("file_id"), F.lit(None), F.lit(None), F.col("chunk_index"), F.col("content"))
     g = c.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", block.alias("t")))).alias("p"))
     return g.select("file_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("context"))
 
 
-CONTEXT_SQL = f"""WITH {V.chunks_sql()} SELECT file_id, string_agg('[문서 ' || (chunk_index + 1) || ' | 파일: ' || file_id || ' | 청크: ' || chunk_index || ']' || chr(10) || substr(content, 1, 80), chr(10) || chr(10) ORDER BY chunk_index) AS context
-FROM kb_chunks WHERE chunk_index < 3 GROUP BY file_id"""
+CONTEXT_SQL = f"""WITH {V.chunks_sql()} SELECT file_id, string_agg('[문서 ' || (chunk_index + 1) || ' | 파일: ' || file_id || ' | 청크: ' || chunk_index || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY chunk_index) AS context
+FROM kb_chunks GROUP BY file_id"""
 
 QUERIES = {
     "chunk_fixed_token": (fixed_token, FIXED_SQL),
