@@ -192,3 +192,61 @@ def kept_jobs(jobs: DataFrame, now: Column, ttl_seconds: int = 3600, newest: int
     top-k, not a window, so no task sorts all jobs."""
     done = jobs.where("status <> 'running'").where(F.col("at") >= now - F.make_interval(secs=F.lit(ttl_seconds)))
     return jobs.where("status = 'running'").unionByName(done.orderBy(F.desc("at"), F.desc("job_id")).limit(newest))
+
+
+def recorded(done: DataFrame, files: DataFrame) -> DataFrame:
+    """The ledger (tenant_id, file_id, file_name) with files recorded; one entry a file, the name it has now."""
+    one = first_of_each(files.select("tenant_id", "file_id", "file_name"), ["tenant_id", "file_id"], ["file_name"])
+    return done.join(one, ["tenant_id", "file_id"], "left_anti").unionByName(one)
+
+
+def unrecorded(done: DataFrame, files: DataFrame) -> DataFrame:
+    """The ledger without these files, which are new again."""
+    return done.join(files.select("tenant_id", "file_id").distinct(), ["tenant_id", "file_id"], "left_anti")
+
+
+def with_folders(folders: DataFrame, new: DataFrame) -> DataFrame:
+    """Folder rows (tenant_id, doc_role, folder_path) with new ones: paths without outer slashes, unknown roles become the
+    default, empty paths and those there already go."""
+    path = F.regexp_replace(F.trim("folder_path"), "^/+|/+$", "")
+    n = new.select("tenant_id", role(F.col("doc_role")).alias("doc_role"), path.alias("folder_path")).where("folder_path <> ''")
+    return folders.select("tenant_id", "doc_role", "folder_path").unionByName(n).distinct()
+
+
+def renamed_folders(folders: DataFrame, old: str, new: str, doc_role: str | None = None) -> DataFrame:
+    """Folder rows after a folder, and all below it, moved; of one role or of all."""
+    mine = F.lit(True) if doc_role is None else F.col("doc_role") == doc_role
+    path = F.when(mine, moved_path(F.col("folder_path"), old, new)).otherwise(F.col("folder_path"))
+    return folders.withColumn("folder_path", path).distinct()
+
+
+def without_folder(folders: DataFrame, folder: str, doc_role: str | None = None) -> DataFrame:
+    mine = F.lit(True) if doc_role is None else F.col("doc_role") == doc_role
+    return folders.where(~(mine & in_tree(F.col("folder_path"), folder)))
+
+
+def folder_listing(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """(tenant_id, doc_role, folder_path, n_files) of all folders that files lie in or that have a row of their own."""
+    n = files.groupBy("tenant_id", "doc_role", "folder_path").agg(F.count("*").alias("n_files"))
+    keys = ["tenant_id", "doc_role", "folder_path"]
+    return n.join(folders.select(*keys).distinct(), keys, "full_outer").select(*keys, F.coalesce("n_files", F.lit(0)).alias("n_files"))
+
+
+def admins(users: DataFrame) -> DataFrame:
+    """Users (tenant_id, id) who may administer: is_admin or the role superAdmin."""
+    return users.where(F.coalesce("is_admin", F.lit(False)) | (F.coalesce("role", F.lit("")) == "superAdmin")).select("tenant_id", "id")
+
+
+def report_uploads(uploads: DataFrame, reports: DataFrame) -> DataFrame:
+    """Uploads with the content of the report of their name, the first by its number; uploads without one go."""
+    r = first_of_each(reports, ["file_name"], ["report_no"]).select("file_name", "file_content")
+    return uploads.join(r, "file_name")
+
+
+def inspected(rows: DataFrame, where: dict, limit: int | None = None) -> DataFrame:
+    """Rows under all clauses given, by id, at most `limit`."""
+    f = rows
+    for name, value in where.items():
+        f = f.where(F.col(name) == value) if value is not None else f
+    f = f.orderBy("id")
+    return f.limit(limit) if limit else f

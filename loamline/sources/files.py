@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import file_extension, key_value_lines, markdown_table, page_text
 
@@ -226,24 +227,34 @@ def image_format(data: Column, name: Column) -> Column:
     return F.when(head.startswith("89504E47"), "png").when(head.startswith("FFD8FF"), "jpeg").when(head.startswith("47494638"), "gif").when(head.startswith("424D"), "bmp").when(head.startswith("52494646"), "webp").otherwise(file_extension(name))
 
 
-def delimited(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8-sig", "cp949", "latin-1")) -> DataFrame:
-    """A CSV or TSV (by extension) with a header, in the first encoding in which its bytes are sound. One file is one
-    table for one profile; its bytes are decoded in a task and parsed by Spark's CSV reader."""
-    sep = "\t" if path.lower().endswith(".tsv") else ","
+def delimited(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A CSV or TSV (by extension) with a header: UTF-8 if all its lines are, else CP949 if they are that, else Latin-1.
+    Lines are checked where they lie, and Spark's reader splits the file over tasks, unless multi_line says that quoted
+    cells hold line feeds. It has no CP949: such a file is decoded whole, in one task."""
+    options = {"sep": "\t" if path.lower().endswith(".tsv") else ",", "header": True, "inferSchema": True}
 
-    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sound(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ok = {"utf-8": True, "cp949": True}
         for batch in stream:
-            for data in batch["content"]:
-                for encoding in encodings:
+            for line in batch["line"]:
+                for encoding in [e for e in ok if ok[e]]:
                     try:
-                        text = bytes(data).decode(encoding)
+                        bytes(line).decode(encoding)
                     except UnicodeDecodeError:
-                        continue
-                    yield pd.DataFrame({"line": text.splitlines()})
-                    break
+                        ok[encoding] = False
+        yield pd.DataFrame({"utf8": [ok["utf-8"]], "cp949": [ok["cp949"]]})
+
+    utf8, cp949 = spark.read.text(path).select(F.col("value").cast("binary").alias("line")).mapInPandas(sound, "utf8 boolean, cp949 boolean").agg(F.min("utf8"), F.min("cp949")).first()
+    if utf8 is not False or cp949 is False:
+        return spark.read.csv(path, encoding="ISO-8859-1" if utf8 is False else "UTF-8", multiLine=multi_line, **options)
+
+    def decoded(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in stream:
+            for data in batch["content"]:
+                yield pd.DataFrame({"line": re.split("\r\n|\n|\r", bytes(data).decode("cp949"))})
 
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "line string")
-    return spark.read.csv(lines.rdd.map(lambda r: r[0]), sep=sep, header=True, inferSchema=True)
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decoded, "line string").where("line <> ''")
+    return spark.read.csv(lines.rdd.map(lambda r: r[0]), **options)
 
 
 def records(rows: DataFrame, options: dict[str, str], output: str = "output") -> DataFrame:
@@ -260,8 +271,8 @@ def report_fields(items: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def glossary_terms(terms: DataFrame, top_k: int) -> DataFrame:
-    """Documents of glossary terms (name, description): blank names left out, a blank description is a dash."""
-    t = terms.where(F.trim(F.coalesce("name", F.lit(""))) != "").limit(max(1, min(20, top_k)))
+    """Documents of glossary terms (name, description), the first by name: blank names left out, a blank description is a dash."""
+    t = terms.where(F.trim(F.coalesce("name", F.lit(""))) != "").orderBy("name", "description").limit(max(1, min(20, top_k)))
     return t.withColumn("content", F.concat_ws("\n", F.concat(F.lit("용어: "), "name"), F.concat(F.lit("설명: "), F.coalesce(F.nullif(F.trim("description"), F.lit("")), F.lit("-")))))
 
 
@@ -276,3 +287,29 @@ def page_layout(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 def tables_as_markdown(df: DataFrame, rows_col: str) -> DataFrame:
     return df.withColumn("markdown", markdown_table(F.col(rows_col)))
+
+
+def page_blocks(words: DataFrame, keys: list[str], gap: float = 20.0) -> DataFrame:
+    """Text blocks of words (keys, top, x0, text): words at one height (1 decimal) are a line, from left to right; lines
+    more than `gap` apart start a new block. Returns keys, y (of the first line) and content."""
+    y = F.round("top", 1)
+    lines = words.groupBy(*keys, y.alias("y")).agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("w"))
+    w = Window.partitionBy(*keys).orderBy("y")
+    new = F.coalesce((F.col("y") - F.lag("y").over(w) > gap).cast("int"), F.lit(1))
+    lines = lines.withColumn("new", new).withColumn("block", F.sum("new").over(w))
+    line = F.array_join(F.transform("w", lambda x: F.coalesce(x["text"], F.lit(""))), " ")
+    g = lines.groupBy(*keys, "block").agg(F.min("y").alias("y"), F.array_sort(F.collect_list(F.struct("y", line.alias("t")))).alias("l"))
+    return g.select(*keys, "y", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("content"))
+
+
+def extraction_stats(blocks: list[dict], n_comments: int, text: str) -> dict[str, int]:
+    """Counts of what was found in a structured document (blocks as of docx_blocks)."""
+    kinds = [b["type"] for b in blocks]
+    return {
+        "paragraph_count": kinds.count("paragraph"),
+        "table_count": kinds.count("table"),
+        "comment_count": n_comments,
+        "placeholder_count": sum(len(b.get("placeholders") or ()) for b in blocks),
+        "image_count": sum(len(b.get("images") or ()) for b in blocks),
+        "flat_text_chars": len(text),
+    }

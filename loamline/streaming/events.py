@@ -51,3 +51,20 @@ def ingest(spark: SparkSession, source: str, schema: StructType, sink: str, chec
 def upsert_each_batch(stream: DataFrame, write, checkpoint: str) -> StreamingQuery:
     """Calls write(rows, batch_id) for each micro-batch; write must give the same table when a batch comes twice."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def evict_each_batch(jobs: DataFrame, path: str, checkpoint: str, ttl_seconds: int = 3600, newest: int = 50) -> StreamingQuery:
+    """The newest state of each job of a stream (job_id, status, at), without finished ones older than the TTL (against the
+    newest time seen) and beyond the newest so many. Batch n writes the folder n under path from the folder n - 1, so a
+    batch that comes twice gives the same table."""
+    from ..operators.catalog import kept_jobs, latest_state
+
+    def write(rows: DataFrame, n: int) -> None:
+        spark, rows = rows.sparkSession, rows.select("job_id", "status", "at")
+        if n:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/{n - 1}"))
+        newest_at = rows.agg(F.max("at")).first()[0]
+        kept = rows if newest_at is None else kept_jobs(latest_state(rows, ["job_id"], tie="status"), F.lit(newest_at), ttl_seconds, newest)
+        kept.write.mode("overwrite").parquet(f"{path}/{n}")
+
+    return upsert_each_batch(jobs, write, checkpoint)
