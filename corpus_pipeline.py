@@ -1,61 +1,5 @@
-"""A training corpus from raw documents: five stages, each a DataFrame of documents to the next."""
+"""A training corpus from raw documents; the stages are in the subpackage of their operators."""
 
-from __future__ import annotations
+from loamline.llm.stages import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from loamline.llm import langid, linededup, mixing, pieces, simhash
-from loamline.llm.common import new_path, read
-
-#: Pooled probability of its language below which a document is rejected.
-SURE = 0.4
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those without a letter (or text), or of no clear language, go."""
-    found = langid.identified(docs, langid.fit(docs), prefix="_id_")
-    return found.where((F.col("_id_lang_pred") != "und") & (F.col("_id_score") >= SURE)).select(*docs.columns)
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that are near an earlier line; documents of which nothing else is left go. n_chars follows."""
-    found = linededup.line_dedup(docs)
-    emptied = (F.col("dedup_n_removed") > 0) & (F.trim(F.translate("text", "\n\r\t", "   ")) == "")
-    return _counted(found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.deduplicated(docs)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources at their target weights."""
-    return _counted(mixing.mixed_texts(docs))
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every text."""
-    found = pieces.encoded(docs.select("doc_id", "lang", "source", "text"))
-    return found.select("doc_id", "lang", "source", F.col("piece_ids").alias("ids"), F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_tokens"))
-
-
-def _counted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
-
-
-STAGES = [("language_id", language), ("line_dedup", lines), ("simhash_near_dedup", near_duplicates), ("source_mix", mix), ("piece_encoding", tokens)]
-
-#: Language ID and SimHash have no SQL; the stages are tested against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet in the shared folder and read again by the next."""
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
