@@ -202,9 +202,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     free = F.greatest(F.lit(0), F.length(text_col) - PIECE)
     pieces = F.array(*(F.substring(F.col(text_col), (free * i / (PIECES - 1)).cast("int") + 1, F.lit(PIECE)) for i in range(PIECES)))
     d = d.select(F.col(lang_col).alias("lang"), order.alias("o"), pieces.alias("pieces"))
-    # a language may have most documents: first the lowest of each salt, then of those
-    for part in (["lang", F.pmod("o", F.lit(64))], ["lang"]):
-        rank = F.row_number().over(Window.partitionBy(*part).orderBy("o", "pieces"))
+    # a language may have most documents: first the lowest of each salt, then of those, so no task ranks more than a few SAMPLE
+    for salts in (64, 8, 1):
+        rank = F.row_number().over(Window.partitionBy("lang", F.pmod("o", F.lit(salts))).orderBy("o", "pieces"))
         d = d.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("lang", "o", "pieces")
     rows = sorted(tuple(r) for r in d.collect())
     if not rows:
