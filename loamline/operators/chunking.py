@@ -25,17 +25,18 @@ def fixed_token_chunks(docs: DataFrame, text_col: str = "content", size: int = 5
     """Windows of `size` words, each `size - overlap` (at least 1) words on from the last, until one reaches the end.
     Texts without words have no chunks."""
     step = max(1, size - overlap)
-    words = F.split(F.regexp_replace(F.col(text_col), r"^\s+|\s+$", ""), r"\s+")
+    words = F.array_remove(F.split(F.col(text_col), r"\s+"), "")
 
     def windows(w: Column) -> Column:
         m = 1 + F.ceil(F.greatest(F.size(w) - size, F.lit(0)) / step).cast("int")
         some = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " "))
-        return F.when(F.array_join(F.slice(w, 1, 2), "") != "", some)
+        return F.when(F.size(w) > 0, some)
 
-    # the words are bound once, and a document's rows carry its chunks only
+    # the words are bound once, and a document's rows carry its chunks only; from an inner explode the optimizer would
+    # infer a filter that makes the chunks a second time
     chunks = F.transform(F.array(words), windows)[0]
     d = docs.select(*[c for c in docs.columns if c != text_col], chunks.alias("_chunks"))
-    d = d.select("*", F.size("_chunks").cast("long").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", text_col))
+    d = d.select("*", F.size("_chunks").cast("long").alias("total_chunks"), F.posexplode_outer("_chunks").alias("chunk_index", text_col)).where("chunk_index is not null")
     return d.select(*[c for c in docs.columns if c != text_col], F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks", text_col)
 
 

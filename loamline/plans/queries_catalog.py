@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog as C
 from ..operators import profile as P
-from ..session import table
+from ..session import table, written
 from . import views as V
 
 _F = f"WITH {V.FILES}"
@@ -92,7 +92,8 @@ RENAME_SQL = _F + " SELECT source_ref, CASE WHEN folder_path = 'src1' OR starts_
 def cascade(spark: SparkSession, sf: str) -> DataFrame:
     """What goes with every seventh file: files, chunks (with an image row on each file's first chunk), ledger."""
     f = V.files(spark, sf)
-    c = V.chunks(spark, sf).select("tenant_id", "file_id", F.concat("file_id", F.lit("#"), F.col("chunk_index").cast("string")).alias("id"), F.lit("document").alias("type"), F.lit(None).cast("string").alias("document_id"))
+    c = written(V.chunks(spark, sf).select("tenant_id", "file_id", "chunk_index"))  # a table, as chunks are
+    c = c.select("tenant_id", "file_id", F.concat("file_id", F.lit("#"), F.col("chunk_index").cast("string")).alias("id"), F.lit("document").alias("type"), F.lit(None).cast("string").alias("document_id"))
     images = c.where(F.col("id").endswith("#0")).select("tenant_id", F.lit(None).cast("string").alias("file_id"), F.concat(F.lit("img"), "id").alias("id"), F.lit("image_analysis").alias("type"), F.col("id").alias("document_id"))
     gone = f.where("doc_id % 7 = 0").select("tenant_id", F.col("source_ref").alias("file_id"))
     return C.cascaded_delete({"files": f, "chunks": c.unionByName(images), "ledger": V.ledger(spark, sf)}, gone)[1]
