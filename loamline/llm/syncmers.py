@@ -125,7 +125,9 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     ids = docs.select(F.col(id_col).cast("long").alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda x: x > F.col("id")))) if cuts else F.lit(0)
+    ranges = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda x: x > F.col("id"))) if cuts else F.lit(0)
+    # null ids are ordered by their texts' hashes alone, so their rows go to ranges of these
+    bucket = F.when(F.col("id").isNull(), len(cuts) + 1 + 7 - F.shiftright("tie", 60)).otherwise(ranges)
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie")).withColumn("bucket", bucket.cast("int"))
     heads = sorted(tuple(r) for r in d.groupBy("bucket").agg(F.max(F.struct("id", "tie")).alias("h")).select("bucket", "h.id", "h.tie").collect())  # one row for each range
@@ -134,7 +136,7 @@ def _with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     d = d.join(F.broadcast(h), (F.col("bucket") == F.col("b")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")), "left")
     places = F.when(F.col("before").isNull(), F.array(F.struct("bucket", F.lit(0).alias("extra")))).otherwise(F.array(F.struct("bucket", F.lit(0).alias("extra")), F.struct(F.col("before").alias("bucket"), F.lit(1).alias("extra"))))
     d = d.withColumn("p", F.explode(places)).select("p.bucket", "p.extra", "id", "text", "tie")
-    return d, len(cuts) + 2
+    return d, len(cuts) + 17
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = SIZE) -> DataFrame:

@@ -15,11 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import extended, held_out
+from .common import extended, held_out, written
 
-#: Labelled documents that training may use, words that may have a weight, and documents a word must be in.
-SAMPLE, WORDS, LEAST = 20_000, 2048, 5
+#: Labelled documents that training may use, their characters in all and of one, words that may have a weight, and
+#: documents a word must be in.
+SAMPLE, CHARS, LONGEST, WORDS, LEAST = 20_000, 64_000_000, 640_000, 2048, 5
 STEPS, RATE, DECAY, BIAS = 300, 0.05, 1e-3, -2.0
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"\w+")
@@ -39,11 +41,16 @@ def sentences(text: str) -> Iterator[tuple[int, int, set[str]]]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(id, text, y) of at most SAMPLE labelled documents outside the held-out fifth, those of lowest hash; a document
-    labelled more than once counts by its highest label."""
+    """(id, text, y) of labelled documents outside the held-out fifth, those of lowest hash: at most SAMPLE, none longer
+    than LONGEST characters, and CHARS in all, so that what the driver fits is bounded in rows and in text. A document
+    labelled more than once counts by its highest label, an id of several texts by the sum of their lengths."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
-    known = known.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(SAMPLE)
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(known), "id")
+    known = known.withColumn("h", F.xxhash64(F.col("id").cast("string"))).orderBy("h", "id").limit(SAMPLE)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    sized = texts.select("id", F.length("text").cast("long").alias("n")).join(F.broadcast(known), "id").groupBy("id", "y", "h").agg(F.sum("n").alias("n"))
+    total = F.sum("n").over(Window.orderBy("h", "id"))  # over SAMPLE rows at most
+    taken = sized.where(F.col("n") <= LONGEST).withColumn("total", total).where(F.col("total") <= CHARS)
+    return texts.join(F.broadcast(written(taken.select("id", "y"), "labelled")), "id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:

@@ -112,6 +112,18 @@ def _sentence(model, words):
     return 1 / (1 + np.exp(-(sum(known) + model.bias))) if known else 0.0
 
 
+def test_toxicity_sample_is_bounded_in_rows_and_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(40)] + [(50, "x" * 500)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    taken = lambda: {r.id: len(r.text) for r in T._sample(docs, known, "doc_id", "text", "toxic").collect()}
+    every = taken()
+    assert set(every) == {i for i in [*range(40), 50] if not held(i)}
+    monkeypatch.setattr(T, "LONGEST", 200)
+    monkeypatch.setattr(T, "CHARS", 1000)
+    some = taken()
+    assert some and max(some.values()) <= 200 and 800 <= sum(some.values()) <= 1000
+
+
 def test_toxicity_edge_cases(spark):
     model = T.Model({"vile": 6.0}, -2.0, 0.1)
     d = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (3, "So vile! Good.\nvile", None), (3, "So vile! Good.\nvile", None), (4, "good " * 50_000 + "vile", None)], "doc_id long, text string, score string")

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -104,6 +105,18 @@ def test_next_documents_and_edits(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("known", [0, 20])
+def test_many_null_ids_follow_by_hash_of_text(spark, known):
+    rows = [(i, f"known {i} " * 3) for i in range(known)] + [(None, f"text {i} " * 4) for i in range(60)]
+    tie = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -tie(r[1])))
+    want = {}
+    for (_, t), (_, after) in zip(order, [*order[1:], order[0]]):
+        want[S.fingerprint(t)] = hashlib.sha256((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode()).hexdigest()
+    got = S.edited_fingerprints(spark.createDataFrame([(*r, "", "", "") for r in rows], DOCS)).collect()
+    assert len(got) == len(rows) and {r.fingerprint: r.edited_sha256 for r in got} == want
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "only one here")], [(None, None), (None, "x")]])
 def test_few_documents(spark, rows):
     got = S.edited_fingerprints(spark.createDataFrame([(*r, "", "", "") for r in rows], DOCS)).collect()
