@@ -105,6 +105,17 @@ def grep_matches(spark: SparkSession, sf: str) -> DataFrame:
     return N.matches(V.pages(spark, sf), "th", context=1, limit=20).select("file_id", "page_number", "line", "seq", "total", "match", "snippet", "context")
 
 
+MATCHES_SQL = f"""WITH {V.PAGES}, p AS (SELECT *, string_split(lower(content), 'th') AS parts, string_split(content, chr(10)) AS lines FROM kb_pages),
+m AS (SELECT *, unnest(range(1, len(parts))) AS i FROM p),
+h AS (SELECT *, list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + 2 * (i - 1) AS "at" FROM m),
+n AS (SELECT *, 1 + length(substr(content, 1, "at")) - length(replace(substr(content, 1, "at"), chr(10), '')) AS line, row_number() OVER (PARTITION BY tenant_id, file_id ORDER BY page_number, i) AS seq FROM h),
+b AS (SELECT *, min(seq) OVER (PARTITION BY tenant_id, file_id, page_number) - 1 AS before FROM n),
+t AS (SELECT *, count(*) OVER (PARTITION BY tenant_id, file_id) AS total, greatest(0, "at" - 80) AS lo FROM b WHERE before < 100)
+SELECT file_id, page_number, line::INT AS line, seq::INT AS seq, total, substr(content, "at" + 1, 2) AS "match",
+CASE WHEN lo > 0 THEN '…' ELSE '' END || trim(replace(substr(content, lo + 1, "at" + 82 - lo), chr(10), ' '), {_WS}) || CASE WHEN "at" + 82 < length(content) THEN '…' ELSE '' END AS snippet,
+array_to_string(lines[greatest(1, line - 1):line + 1], chr(10)) AS context FROM t WHERE seq <= 20"""
+
+
 def page_read(spark: SparkSession, sf: str) -> DataFrame:
     return N.page_range(V.pages(spark, sf), "1-2, 4").select("file_id", "page_number", "content")
 
@@ -228,7 +239,7 @@ QUERIES = {
     "chunks_metadata": (chunk_metadata, METADATA_SQL),
     "full_text_rebuild": (rebuilt, REBUILT_SQL),
     "grep_literal_counts": (grep_counts, GREP_SQL),
-    "grep_matches": (grep_matches, None),
+    "grep_matches": (grep_matches, MATCHES_SQL),
     "page_range_read": (page_read, READ_SQL),
     "glossary_inline_budget": (glossary_inline, GLOSSARY_SQL),
     "page_batches": (batches, BATCHES_SQL),
