@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, linededup, mixing, pieces, syncmers, tokenfiles, toxicity, warczip
+from . import embeddings, langid, licenses, linededup, mixing, pieces, syncmers, tokenfiles, toxicity, warczip
 from .common import held_out, read
 from .simhash import hex16, simhash_components
 
@@ -69,6 +69,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", *(F.col(f"mix_{x}").alias(x) for x in ("size", "source_size", "target", "taken")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing}
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license templates in all texts."""
+    found = licenses.scanned(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(F.col(c).alias(c.removeprefix("license_")) for c in licenses.RESULTS[:-1]))
 
-SQL: dict[str, str] = {"op2_embeddings": embeddings.SQL, "op6_warc": warczip.SQL, "op7_line_dedup": linededup.SQL, "op10_mixing": mixing.SQL}
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing, "op11_licenses": op11_licenses}
+
+SQL: dict[str, str] = {"op2_embeddings": embeddings.SQL, "op6_warc": warczip.SQL, "op7_line_dedup": linededup.SQL, "op10_mixing": mixing.SQL, "op11_licenses": licenses.SQL}
