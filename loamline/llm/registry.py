@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, licenses, linededup, mixing, pieces, syncmers, tokenfiles, toxicity, warczip
+from . import codes, embeddings, langid, licenses, linededup, manifest, mixing, pieces, syncmers, tokenfiles, toxicity, warczip
 from .common import held_out, read
 from .simhash import hex16, simhash_components
 
@@ -75,6 +75,19 @@ def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col(c).alias(c.removeprefix("license_")) for c in licenses.RESULTS[:-1]))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing, "op11_licenses": op11_licenses}
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as product codes."""
+    found = codes.compressed(read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", *(F.col(c).alias(c.removeprefix("pq_")) for c in codes.RESULTS))
 
-SQL: dict[str, str] = {"op2_embeddings": embeddings.SQL, "op6_warc": warczip.SQL, "op7_line_dedup": linededup.SQL, "op10_mixing": mixing.SQL, "op11_licenses": licenses.SQL}
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle tree over all documents, with proofs that find changed ones."""
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    found = manifest.proved(read(spark, sf_dir, "documents"), fields, tampered=manifest.one_in_seven("doc_id"), change={"n_chars": F.col("n_chars") + 1})
+    return found.select("doc_id", *(F.col(c).alias(c.removeprefix("merkle_")) for c in manifest.RESULTS[:-1]))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_embeddings": op2_embeddings, "op3_langid": op3_langid, "op4_toxicity": op4_toxicity, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op7_line_dedup": op7_line_dedup, "op8_syncmers": op8_syncmers, "op9_token_files": op9_token_files, "op10_mixing": op10_mixing, "op11_licenses": op11_licenses, "op12_codes": op12_codes, "op13_manifest": op13_manifest}
+
+SQL: dict[str, str] = {"op2_embeddings": embeddings.SQL, "op6_warc": warczip.SQL, "op7_line_dedup": linededup.SQL, "op10_mixing": mixing.SQL, "op11_licenses": licenses.SQL, "op12_codes": codes.SQL, "op13_manifest": manifest.SQL}
