@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -33,10 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared folder (spark.checkpoint.dir; one of its own where all tasks run on this
-    machine) and read back, which cuts the lineage."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder (spark.checkpoint.dir; one of its own where all tasks run on this machine), which goes
+    when this driver program ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.conf.get("spark.master", "local").startswith("local"):
@@ -44,5 +45,18 @@ def written(df: DataFrame) -> DataFrame:
         shared = "file://" + tempfile.mkdtemp(prefix="loamline-")
         spark.conf.set("spark.checkpoint.dir", shared)
     path = f"{shared.rstrip('/')}/loamline/{uuid.uuid4().hex}"
+    atexit.register(_deleted, spark, path)
+    return path
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared folder and read back, which cuts the lineage."""
+    spark, path = df.sparkSession, new_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
