@@ -1,7 +1,7 @@
 """Readers: folders of files to parsed rows, tables in files, listings, and records of other systems.
 
 Binary formats are parsed per row in Arrow-batched maps over Spark's `binaryFile` source, so reading parallelises over
-files; what cannot be parsed becomes a row with its error. Formats without a reader here (PDF, HWP) go to a parser that
+files; what cannot be parsed becomes a row with its error. Formats without a reader here (HWP) go to a parser that
 the caller registers.
 """
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import file_extension, key_value_lines, markdown_table, page_text
+from . import pdf
 
 IMAGES = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tiff")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -177,22 +178,31 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def documents(files: DataFrame, parsers: dict[str, Callable] | None = None) -> DataFrame:
     """One row for each page: path, file_name, file_type, page, content, error. Unknown types and unreadable files
-    give one row with an error; images have empty content. parsers: added to those registered."""
+    give one row with an error; images have empty content. parsers: added to those registered; a registered parser for PDF
+    takes the place of the reader in `sources.pdf`, whose pages are laid out by columns in the same pass."""
     known = PARSERS | (parsers or {})
-    schema = "path string, file_name string, file_type string, page int, content string, error string"
+    names = ["path", "file_name", "file_type", "page", "content", "words", "tables", "error"]
+    kinds = dict(zip(("page", "width", "height", "words", "tables", "error"), pdf.ITEMS.split(", ")))
+    schema = f"path string, file_name string, file_type string, page int, content string, {kinds['words']}, {kinds['tables']}, error string"
 
     def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in stream:
             rows = []
             for path, name, kind, data in batch.itertuples(index=False):
+                if kind == "pdf" and kind not in known:
+                    rows += [(path, name, kind, page, None, words, tables, error) for page, _, _, words, tables, error in pdf.rows_of(bytes(data))]
+                    continue
                 try:
                     pages = [(0, "")] if kind in IMAGES else known[kind](bytes(data))
-                    rows += [(path, name, kind, p, t.replace("\x00", ""), None) for p, t in pages]
+                    rows += [(path, name, kind, p, t.replace("\x00", ""), None, None, None) for p, t in pages]
                 except KeyError if kind not in known else Exception as e:
-                    rows.append((path, name, kind, 0, None, f"unsupported: {kind}" if kind not in known else f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "file_name", "file_type", "page", "content", "error"])
+                    rows.append((path, name, kind, 0, None, None, None, f"unsupported: {kind}" if kind not in known else f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "file_name", "file_type", "content").mapInPandas(run, schema)
+    found = files.select("path", "file_name", "file_type", "content").mapInPandas(run, schema)
+    found = found.withColumn("parts", pdf.page_parts(F.col("words"), F.col("tables")))
+    content = F.when(F.col("parts").isNotNull(), pdf.page_content(F.col("page"), F.col("parts"))[0]).otherwise(F.col("content"))
+    return found.select("path", "file_name", "file_type", "page", content.alias("content"), "error")
 
 
 def stored_pages(docs: DataFrame) -> DataFrame:
@@ -202,13 +212,16 @@ def stored_pages(docs: DataFrame) -> DataFrame:
 
 
 def embedded_images(files: DataFrame) -> DataFrame:
-    """One row for each image in DOCX and PPTX files: image_id, image_name, image_index, format (by magic bytes), image_data."""
+    """One row for each image in DOCX, PPTX and PDF files: image_id, image_name, image_index, format (by magic bytes), image_data."""
     schema = "path string, image_id string, image_name string, image_index int, image_data binary"
 
     def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in stream:
             rows = []
-            for path, name, data in batch.itertuples(index=False):
+            for path, name, kind, data in batch.itertuples(index=False):
+                if kind == "pdf":
+                    rows += [(path, f"{name}_img{i}", f"p{page}_i{i}.{form}", i, image) for i, (page, form, image) in enumerate(pdf.images_of(bytes(data)))]
+                    continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
                         media = [n for n in z.namelist() if re.match(r"(word|ppt)/media/.", n)]
@@ -217,7 +230,7 @@ def embedded_images(files: DataFrame) -> DataFrame:
                     continue
             yield pd.DataFrame(rows, columns=["path", "image_id", "image_name", "image_index", "image_data"])
 
-    images = files.where(F.col("file_type").isin("docx", "pptx")).select("path", "file_name", "content").mapInPandas(run, schema)
+    images = files.where(F.col("file_type").isin("docx", "pptx", "pdf")).select("path", "file_name", "file_type", "content").mapInPandas(run, schema)
     return images.withColumn("format", image_format(F.col("image_data"), F.col("image_name")))
 
 
