@@ -40,6 +40,14 @@ def fixed_token_chunks(docs: DataFrame, text_col: str = "content", size: int = 5
     return d.select(*[c for c in docs.columns if c != text_col], F.col("chunk_index").cast("long").alias("chunk_index"), "total_chunks", text_col)
 
 
+def fixed_split(text: str, size: int = 50, overlap: int = 10) -> list[tuple[int, str]]:
+    """The same windows of one text, each with the offset of its first word."""
+    words = [(m.start(), m[0]) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text)]
+    step = max(1, size - overlap)
+    starts = range(0, max(len(words) - size, 0) + step, step) if words else ()
+    return [(words[i][0], " ".join(w for _, w in words[i : i + size])) for i in starts]
+
+
 # --- splitters on one text: (start, text) pieces in order ---
 def _parts(text: str, start: int, separator: str) -> list[tuple[int, str]]:
     """Pieces that each begin with the separator, but for the first."""

@@ -63,6 +63,17 @@ def match_counts(pages: DataFrame, pattern: str, regex: bool = False, case_sensi
 _MATCH = "line int, match string, snippet string, context string, n_in_page int"
 
 
+def found_in(compiled: re.Pattern, text: str, context: int = 0, radius: int = 80) -> Iterator[tuple]:
+    """Line from 1, match, snippet, lines around and number of each place of a pattern in a text."""
+    lines, n, line, at = text.split("\n"), 0, 1, 0
+    for m in compiled.finditer(text):
+        n += 1
+        line, at = line + text.count("\n", at, m.start()), m.start()
+        left, right = max(0, m.start() - radius), min(len(text), m.end() + radius)
+        snippet = ("…" if left else "") + text[left:right].replace("\n", " ").strip() + ("…" if right < len(text) else "")
+        yield line, m[0], snippet, "\n".join(lines[max(0, line - 1 - context) : line + context]) if context else "", n
+
+
 def matches(pages: DataFrame, pattern: str, regex: bool = False, case_sensitive: bool = False, context: int = 0, limit: int = 20, radius: int = 80) -> DataFrame:
     """Where a pattern occurs: page, line from 1 (lines end at line feeds), match, snippet and `context` lines around; of
     each file the first `limit`, in order, and `total`, the count up to where the search stops at 5 times the limit."""
@@ -70,18 +81,9 @@ def matches(pages: DataFrame, pattern: str, regex: bool = False, case_sensitive:
     rest = [c for c in pages.columns if c != "content"]
     schema = StructType([*pages.select(*rest).schema.fields, *StructType.fromDDL(_MATCH).fields])
 
-    def found(text: str) -> Iterator[tuple]:
-        lines, n, line, at = text.split("\n"), 0, 1, 0
-        for m in compiled.finditer(text):
-            n += 1
-            line, at = line + text.count("\n", at, m.start()), m.start()
-            left, right = max(0, m.start() - radius), min(len(text), m.end() + radius)
-            snippet = ("…" if left else "") + text[left:right].replace("\n", " ").strip() + ("…" if right < len(text) else "")
-            yield line, m[0], snippet, "\n".join(lines[max(0, line - 1 - context) : line + context]) if context else "", n
-
     def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in stream:
-            hits = [list(found(t)) if isinstance(t, str) else [] for t in batch["content"]]
+            hits = [list(found_in(compiled, t, context, radius)) if isinstance(t, str) else [] for t in batch["content"]]
             rows = batch[rest].loc[batch.index.repeat([len(h) for h in hits])].reset_index(drop=True)
             yield pd.concat([rows, pd.DataFrame([x for h in hits for x in h], columns=["line", "match", "snippet", "context", "n_in_page"], index=rows.index)], axis=1)
 
