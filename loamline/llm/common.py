@@ -62,6 +62,16 @@ def _deleted(spark: SparkSession, path: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def packed(docs: DataFrame) -> F.Column:
+    """All columns of docs as one, called own, so that none of their names meets one of ours."""
+    return F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("own")
+
+
+def unpacked(docs: DataFrame, but: tuple = ()) -> list[F.Column]:
+    """The columns of docs out of own, without those named."""
+    return [F.col("own")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns) if c not in but]
+
+
 def extended(df: DataFrame, ddl: str) -> StructType:
     """The schema of df with further fields."""
     return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import extended, held_out
+from .common import extended, held_out, packed, unpacked
 
 #: Labelled documents for each language that training may use, the pieces of each, and characters of a piece.
 SAMPLE, PIECES, PIECE = 600, 8, 96
@@ -202,11 +202,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     free = F.greatest(F.lit(0), F.length(text_col) - PIECE)
     pieces = F.array(*(F.substring(F.col(text_col), (free * i / (PIECES - 1)).cast("int") + 1, F.lit(PIECE)) for i in range(PIECES)))
     d = d.select(F.col(lang_col).alias("lang"), order.alias("o"), pieces.alias("pieces"))
-    # a language may have most documents: first the lowest of each salt, then of those, so no task ranks more than a few SAMPLE
-    for salts in (64, 8, 1):
-        rank = F.row_number().over(Window.partitionBy("lang", F.pmod("o", F.lit(salts))).orderBy("o", "pieces"))
-        d = d.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("lang", "o", "pieces")
-    rows = sorted(tuple(r) for r in d.collect())
+    # hashes are even, so those below this share of them hold the SAMPLE lowest of a language, and only these are shuffled and ranked
+    counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
+    upto = d.sparkSession.createDataFrame([(lang, -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * SAMPLE // n)) for lang, n in counts.items()], "lang string, upto long")
+    few = d.join(F.broadcast(upto), "lang").where("o <= upto")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "pieces"))
+    rows = sorted(tuple(r) for r in few.withColumn("r", rank).where(F.col("r") <= SAMPLE).select("lang", "o", "pieces").collect())
     if not rows:
         return None
     langs = sorted({r[0] for r in rows})
@@ -217,15 +218,13 @@ def identified(docs: DataFrame, net: Network | None, text_col: str = "text", pre
     """docs with lang_pred (a learned language, or und if the text is null or has no letter) and score, the pooled
     probability of that language (0 for und), under the prefix given. Columns of these names are replaced."""
     names = (f"{prefix}lang_pred", f"{prefix}score")
-    kept = docs.drop(*names)
-    schema = extended(kept, f"`{names[0]}` string, `{names[1]}` double")
-    where = kept.columns.index(text_col)
+    kept = docs.select(packed(docs), F.col(f"`{text_col}`").alias("text"))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
-                texts = [t if t is not None and any(map(str.isalpha, t)) else "" for t in batch.column(where).to_pylist()]
+                texts = [t if t is not None and any(map(str.isalpha, t)) else "" for t in batch.column(1).to_pylist()]
                 if net is None:
                     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
                 else:
@@ -233,6 +232,7 @@ def identified(docs: DataFrame, net: Network | None, text_col: str = "text", pre
                     best = p.argmax(axis=1)
                     langs = [net.langs[b] if t else "und" for b, t in zip(best, texts)]
                     scores = [min(1.0, float(x)) if t else 0.0 for x, t in zip(p.max(axis=1), texts)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["own", "lang", "score"])
 
-    return kept.mapInArrow(run, schema)
+    found = kept.mapInArrow(run, extended(kept.select("own"), "lang string, score double"))
+    return found.select(*unpacked(docs, names), F.col("lang").alias(names[0]), F.col("score").alias(names[1]))

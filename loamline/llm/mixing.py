@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import packed, unpacked, written
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SHARD, SEED = 32, 1 << 16, "mix"
@@ -100,37 +100,47 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return written(q.join(upto, ["ix", "shard"], "left").select("ix", F.col("source_").alias("source"), "source_size", "target", "shards", "shard", "quota", "whole", "upto"), "mix")
 
 
+RESULTS = tuple(f"mix_{x}" for x in ("size", "source_size", "target", "taken", "whole", "again"))
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """own (the columns of docs) and RESULTS."""
+    p = plan(docs, id_col, text_col, source_col)
+    size, blocks, digest = sized(docs, id_col, text_col, source_col)
+    s = p.groupBy("source").agg(F.first("shards").alias("shards"), F.first("ix").alias("ix")).withColumnRenamed("source", "of")
+    d = docs.select(packed(docs), F.col(source_col).alias("source"), size.alias("mix_size"), blocks.alias("blocks"), digest.alias("digest"))
+    d = d.join(s, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", _shard(F.col("digest"), F.col("shards"))).drop("of", "shards", "source")
+    q = p.select("ix", "shard", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), "upto")
+    d = d.join(q, ["ix", "shard"])
+    all_ = F.when(F.col("blocks") > 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array().cast("array<bigint>"))
+    again = F.filter(all_, lambda b: F.coalesce(_key(F.col("digest"), b) <= F.col("upto"), F.lit(False)))
+    d = d.withColumn("mix_again", again)
+    more = F.aggregate("mix_again", F.lit(0).cast("long"), lambda n, b: n + _words(F.col("mix_size"), b))
+    return d.withColumn("mix_taken", F.col("mix_whole") * F.col("mix_size") + more).select("own", *RESULTS)
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with size, source_size, target, taken, whole (times the whole text is taken) and again (the numbers of the
     32-word blocks taken besides), in columns prefixed mix_.
 
     A null text has no words, a null source is a source of its own, and a null id is a value like any other. Documents
     without words take none. Equal rows are taken alike; the mix over all rows stays near the target as long as no one
-    row's repeats outweigh a block. Columns of docs keep their names; an empty table gives an empty one."""
-    p = plan(docs, id_col, text_col, source_col)
-    size, blocks, digest = sized(docs, id_col, text_col, source_col)
-    s = p.groupBy("source").agg(F.first("shards").alias("_shards"), F.first("ix").alias("_ix")).withColumnRenamed("source", "_source")
-    d = docs.withColumns({"mix_size": size, "_blocks": blocks, "_digest": digest})
-    d = d.join(s, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_shard", _shard(F.col("_digest"), F.col("_shards"))).drop("_source", "_shards")
-    q = p.select(F.col("ix").alias("_ix"), F.col("shard").alias("_shard"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), F.col("upto").alias("_upto"))
-    d = d.join(q, ["_ix", "_shard"])
-    all_ = F.when(F.col("_blocks") > 0, F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).otherwise(F.array().cast("array<bigint>"))
-    again = F.filter(all_, lambda b: F.coalesce(_key(F.col("_digest"), b) <= F.col("_upto"), F.lit(False)))
-    d = d.withColumn("mix_again", again)
-    more = F.aggregate("mix_again", F.lit(0).cast("long"), lambda n, b: n + _words(F.col("mix_size"), b))
-    d = d.withColumn("mix_taken", F.col("mix_whole") * F.col("mix_size") + more)
-    return d.select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_whole", "mix_again")
+    row's repeats outweigh a block. Columns of docs keep their names and values, unless they are named like a result, which
+    takes their place; an empty table gives an empty one."""
+    return _mixed(docs, id_col, text_col, source_col).select(*unpacked(docs, RESULTS), *RESULTS)
 
 
 def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with the text that the mix takes of each: the whole text if it is taken, then the blocks taken besides, with
-    their white space. Documents of which nothing is taken go, unless they have no words."""
-    m = mixed(docs, id_col, text_col, source_col).where("mix_taken > 0 or mix_size = 0")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    again = F.array_join(F.transform("mix_again", lambda b: F.array_join(F.slice("_words", (b * BLOCK + 1).cast("int"), F.lit(BLOCK)), "")), "")
-    whole = F.when(F.col("mix_whole") == 1, F.col(text_col)).otherwise("")
-    text = F.when(F.size("mix_again") == 0, whole).when(F.col("mix_whole") == 0, again).otherwise(F.concat(F.col(text_col), F.lit("\n"), again))
-    return m.withColumn("_words", F.when(F.size("mix_again") > 0, words)).withColumn(text_col, F.when(F.col("mix_size") == 0, F.col(text_col)).otherwise(text)).select(*docs.columns)
+    their white space. Documents of which nothing is taken go, unless they have no words. Other columns stay as they are."""
+    m = _mixed(docs, id_col, text_col, source_col).where("mix_taken > 0 or mix_size = 0")
+    m = m.withColumn("text", F.col("own")[f"c{docs.columns.index(text_col)}"])
+    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    again = F.array_join(F.transform("mix_again", lambda b: F.array_join(F.slice("words", (b * BLOCK + 1).cast("int"), F.lit(BLOCK)), "")), "")
+    whole = F.when(F.col("mix_whole") == 1, F.col("text")).otherwise("")
+    text = F.when(F.size("mix_again") == 0, whole).when(F.col("mix_whole") == 0, again).otherwise(F.concat(F.col("text"), F.lit("\n"), again))
+    m = m.withColumn("words", F.when(F.size("mix_again") > 0, words)).withColumn("text", F.when(F.col("mix_size") == 0, F.col("text")).otherwise(text))
+    return m.select(*(F.col("text").alias(c) if c == text_col else own for c, own in zip(docs.columns, unpacked(docs))))
 
 
 #: DuckDB SQL for the mix of documents, with the same digests.

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, extended, grouped, local_labels, written
+from .common import components, extended, grouped, local_labels, packed, unpacked, written
 
 SEED, TREE = 42, 2048
 #: Expected rows of a shard beyond which one more block is cut.
@@ -241,10 +241,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs found are verified on the shingles themselves, up to a spanning forest of each shard.
 
     Texts that are null, empty or white space are each other's copies. Null ids come last; rows equal in id and text are
-    one document, and stay or go together. Columns of docs stay as they are."""
+    one document, and stay or go together. Columns of docs stay as they are, whatever their names."""
     last = (1 << 63) - 1
-    keyed_ = {"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(last)), "_tie": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
-    source = docs.withColumns(keyed_).select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), F.col(text_col).alias("text"))
+    doc, tie = F.coalesce(F.col(id_col).cast("long"), F.lit(last)), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    source = docs.select(doc.alias("doc"), tie.alias("tie"), F.col(text_col).alias("text"))
     prints = written(_sketches(source, width, keys), "sketches")
     classes = written(prints.groupBy("cls").agg(F.min(F.struct("doc", "tie", "fp", "n", "sig", "mins")).alias("f")).select("cls", "f.*"), "classes")
     keyed = classes.select("cls", "fp", "n", "sig", F.posexplode("mins").alias("i", "m")).select("cls", "fp", "n", "sig", F.xxhash64("i", "m").alias("k"))
@@ -294,8 +294,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stays = named.groupBy("component").agg(F.min(F.struct("doc", "tie")).alias("first"))
     stays = written(named.join(stays, "component").select("cls", "first"), "stays")
     gone = prints.join(stays, "cls").where(F.col("first") != F.struct("doc", "tie")).select("doc", "tie").distinct()
-    d = docs.withColumns(keyed_)
-    return d.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_tie") == F.col("tie")), "left_anti").select(*docs.columns)
+    return docs.select(packed(docs), doc.alias("doc"), tie.alias("tie")).join(gone, ["doc", "tie"], "left_anti").select(*unpacked(docs))
 
 
 def hex16(fp):

@@ -13,17 +13,21 @@ SURE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those without a letter (or text), or of no clear language, go."""
-    found = langid.identified(docs, langid.fit(docs), prefix="_id_")
-    return found.where((F.col("_id_lang_pred") != "und") & (F.col("_id_score") >= SURE)).select(*docs.columns)
+    """Documents whose language is identified; those without a letter (or text), or of no clear language, go. Repeated rows stay or go
+    together, columns stay as they are, and an empty table stays empty."""
+    prefix = _unused(docs, "_id_")
+    found = langid.identified(docs, langid.fit(docs), prefix=prefix)
+    return found.where((F.col(f"{prefix}lang_pred") != "und") & (F.col(f"{prefix}score") >= SURE)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that are near an earlier line; documents of which nothing else is left go. n_chars follows.
     Null and empty texts stay as they are; equal rows keep the same lines."""
-    found = linededup.line_dedup(docs)
+    prefix = _unused(docs, "_own_")
+    found = linededup.line_dedup(docs.withColumnsRenamed({c: prefix + c for c in linededup.COUNTS}))
     emptied = (F.col("dedup_n_removed") > 0) & (F.trim(F.translate("text", "\n\r\t", "   ")) == "")
-    return _counted(found.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns))
+    found = found.where(~F.coalesce(emptied, F.lit(False))).drop(*linededup.COUNTS).withColumnsRenamed({prefix + c: c for c in linededup.COUNTS})
+    return _counted(found.select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +48,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "source", F.col("piece_ids").alias("ids"), F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_tokens"))
 
 
+def _unused(docs: DataFrame, prefix: str) -> str:
+    """A prefix that no column has."""
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
