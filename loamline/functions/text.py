@@ -108,7 +108,7 @@ def safe_segment(c: Column) -> Column:
     """A folder name fit for a storage key: as it is, with runs of other ASCII as one dash, or a stable hash."""
     dashed = F.regexp_replace(F.regexp_replace(c, r"[^a-zA-Z0-9._\-]+", "-"), "^-+|-+$", "")
     hashed = F.concat(F.lit("f-"), F.substring(F.sha1(c.cast("binary")), 1, 10))
-    return F.when(c.rlike(r"^[a-zA-Z0-9._\-]+$"), c).when(c.rlike(r"^\p{ASCII}*$") & (dashed != ""), dashed).otherwise(hashed)
+    return F.when(c.rlike(r"^[a-zA-Z0-9._\-]+\z"), c).when(c.rlike(r"^\p{ASCII}*\z") & (dashed != ""), dashed).otherwise(hashed)
 
 
 def safe_path(c: Column) -> Column:

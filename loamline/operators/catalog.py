@@ -157,19 +157,21 @@ def may_delete(is_admin: Column, source_type: Column, uploaded_by: Column, user:
 
 
 def folder_tree(nodes: DataFrame) -> DataFrame:
-    """(id, path, level) of a table (id, parent_id, name) from its roots down, however deep: one join a level, each level
-    written before the next, until a level is empty. An id that is its own ancestor is an error."""
-    n = written(nodes.select(F.col("id").alias("c_id"), F.col("parent_id").alias("c_parent"), F.col("name").alias("c_name")))
-    most = n.count()
-    level = written(n.where("c_parent is null").select(F.col("c_id").alias("id"), F.col("c_name").alias("path"), F.lit(0).alias("level")))
-    out, depth = level, 0
-    while not level.isEmpty():
-        depth += 1
-        if depth > most:
+    """(id, path, level) of a table (id, parent_id, name) from its roots down, however deep, in as many rounds as the depth has binary
+    digits: each row points to an ancestor and holds the path below it, and a round takes the pointer and path of that ancestor,
+    which lies twice as far up each time. Folders below a missing one go; an id that is its own ancestor is an error."""
+    is_root = F.col("parent_id").isNull()
+    t = written(nodes.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path"), F.when(is_root, 0).otherwise(1).alias("level")))
+    most, rounds = t.count(), 0
+    while not t.where("up is not null").isEmpty():
+        if 1 << rounds > 2 * most:
             raise ValueError("the folders form a cycle")
-        level = written(level.join(n, F.col("c_parent") == F.col("id")).select(F.col("c_id").alias("id"), F.concat("path", F.lit("/"), F.col("c_name")).alias("path"), F.lit(depth).alias("level")))
-        out = out.unionByName(level)
-    return out
+        rounds += 1
+        above = t.select(F.col("id").alias("a_id"), F.col("up").alias("a_up"), F.col("path").alias("a_path"), F.col("level").alias("a_level"))
+        further = t.where("up is not null").join(above, F.col("up") == F.col("a_id"))
+        further = further.select("id", F.col("a_up").alias("up"), F.concat("a_path", F.lit("/"), "path").alias("path"), (F.col("level") + F.col("a_level")).alias("level"))
+        t = written(t.where("up is null").unionByName(further))
+    return t.select("id", "path", "level")
 
 
 def job_counters(jobs: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,13 +157,15 @@ def semantic_split(text: str, similar: Callable[[list[str]], list[float]] | None
 _FIELDS = "chunk_index int, total_chunks int, start_index int, section_path string, h1 string, h2 string, h3 string, h4 string, chunker_name string, chunk string"
 
 
-def _chunked(docs: DataFrame, text_col: str, name: str, split: Callable[[str], list[tuple]]) -> DataFrame:
+def _chunked(docs: DataFrame, text_col: str, name: str, split: Callable[[str], list[tuple]] | None, batches: Callable[[], Callable[[list], list]] | None = None) -> DataFrame:
+    """split: the pieces of a text. batches: built once for each task, the pieces of each of some texts."""
     rest = [c for c in docs.columns if c != text_col]
     schema = StructType([*docs.select(*rest).schema.fields, *StructType.fromDDL(_FIELDS).fields])
 
     def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = batches() if batches else lambda texts: [split(t) if isinstance(t, str) else [] for t in texts]
         for batch in stream:
-            found = [[(*p, [""] * 4) if len(p) == 2 else p for p in split(t)] if isinstance(t, str) else [] for t in batch[text_col]]
+            found = [[(*p, [""] * 4) if len(p) == 2 else p for p in some] for some in pieces(batch[text_col].tolist())]
             rows = batch[rest].loc[batch.index.repeat([len(f) for f in found])].reset_index(drop=True)
             parts = [(i, len(f), a, " / ".join(t for t in titles if t), *titles, name, text) for f in found for i, (a, text, titles) in enumerate(f)]
             yield pd.concat([rows, pd.DataFrame(parts, columns=[x.split()[0] for x in _FIELDS.split(", ")], index=rows.index)], axis=1)
@@ -189,8 +192,47 @@ def hybrid_chunks(docs: DataFrame, text_col: str = "content", size: int = SIZE,
     return _chunked(docs, text_col, "hybrid", split)
 
 
-def semantic_chunks(docs: DataFrame, text_col: str = "content", similar=None, threshold: float = 0.78, least: int = 2, size: int = SIZE) -> DataFrame:
-    return _chunked(docs, text_col, "semantic", lambda t: semantic_split(t, similar, threshold, least, size))
+def sentences(text: Column) -> Column:
+    """The sentences of a text, without outer white space; those that are blank go."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda s: s != "")
+
+
+def semantic_chunks(docs: DataFrame, text_col: str = "content", similar=None, threshold: float = 0.78, least: int = 2, size: int = SIZE, make: Callable[[], Callable] | None = None, at_once: int = 4096) -> DataFrame:
+    """Groups of sentences that are alike. make builds an embedder (texts to an array of vectors), once for each task; the sentences of
+    the texts of an Arrow batch are embedded together, `at_once` at a time, each distinct one once. similar is for cosines from
+    elsewhere; without either, groups have `least` sentences."""
+    if make is None:
+        return _chunked(docs, text_col, "semantic", lambda t: semantic_split(t, similar, threshold, least, size))
+    return _chunked(docs, text_col, "semantic", None, lambda: _semantic_batch(make(), threshold, least, size, at_once))
+
+
+def _semantic_batch(embed: Callable, threshold: float, least: int, size: int, at_once: int) -> Callable[[list], list]:
+    def split(texts: list) -> list:
+        asked: dict[str, int] = {}
+
+        def noted(some: list[str]) -> list[float]:
+            for s in some:
+                asked.setdefault(s, len(asked))
+            return [0.0] * (len(some) - 1)
+
+        for t in texts:
+            if isinstance(t, str):
+                semantic_split(t, noted, threshold, least, size)
+        known, parts = list(asked), []
+        for low in range(0, len(known), at_once):
+            parts.append(np.asarray(embed(known[low : low + at_once]), dtype=float))
+        m = np.concatenate(parts) if parts else np.zeros((0, 1))
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+        def near(some: list[str]) -> list[float]:
+            v = m[[asked[s] for s in some]]
+            return (v[:-1] * v[1:]).sum(axis=1).tolist()
+
+        return [semantic_split(t, near, threshold, least, size) if isinstance(t, str) else [] for t in texts]
+
+    return split
 
 
 CHUNKERS: dict[str, Callable[..., DataFrame]] = {"recursive": recursive_chunks, "fixed_token": fixed_token_chunks, "markdown_header": header_chunks, "semantic": semantic_chunks, "hybrid": hybrid_chunks}

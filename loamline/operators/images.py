@@ -67,22 +67,27 @@ def with_captions(chunks: DataFrame, images: DataFrame, keys: list[str]) -> Data
 
 
 def described(images: DataFrame, make: Callable[[], Callable[[list[bytes]], list[str | None]]] | None = None, size: int = 10) -> DataFrame:
-    """images (image_data binary) with analysis, from a model built once in each task and asked `size` images at a time;
-    without a model, and where it fails on a batch, analysis is null."""
+    """images (image_data binary) with analysis, from a model built once in each task and asked `size` images at a time, and
+    analysis_error; without a model both are null, and where it fails on a batch, or gives another number of answers, analysis is null."""
     if make is None:
-        return images.withColumn("analysis", F.lit(None).cast("string"))
-    schema = StructType([*images.schema.fields, StructField("analysis", StringType())])
+        return images.withColumns({c: F.lit(None).cast("string") for c in ("analysis", "analysis_error")})
+    schema = StructType([*images.schema.fields, StructField("analysis", StringType()), StructField("analysis_error", StringType())])
 
     def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for batch in stream:
             out: list[str | None] = []
+            errors: list[str | None] = []
             for low in range(0, len(batch), size):
                 some = batch["image_data"].iloc[low : low + size].tolist()
                 try:
-                    out += model(some)
-                except Exception:  # a model's failure costs its batch, not the job
-                    out += [None] * len(some)
-            yield batch.assign(analysis=out)
+                    answers, error = list(model(some)), None
+                    if len(answers) != len(some):
+                        answers, error = [None] * len(some), f"{len(answers)} answers for {len(some)} images"
+                except Exception as e:  # a model's failure costs its batch, not the job
+                    answers, error = [None] * len(some), f"{type(e).__name__}: {e}"
+                out += answers
+                errors += [error] * len(some)
+            yield batch.assign(analysis=out, analysis_error=errors)
 
     return images.mapInPandas(run, schema)

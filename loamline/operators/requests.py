@@ -24,8 +24,16 @@ def same(names: tuple[str, ...], columns: list[str]) -> Column:
 
 
 def json_equals(meta: Column, key: str, value: Any) -> Column:
-    """Whether a JSON object's value under a key, as text, is a value; false for null and for what is no JSON."""
-    return F.coalesce(F.get_json_object(meta, f"$['{key}']") == str(value), F.lit(False))
+    """Whether a JSON object's value under a key is a value: a Boolean, a number or a text, each as JSON writes it, and a text is also
+    equal to the number or Boolean of its spelling. False for null and for what is no JSON. Any key may be asked for."""
+    held = F.try_element_at(F.from_json(meta, "map<string,string>"), F.lit(key))
+    if isinstance(value, bool):
+        equal = held == str(value).lower()
+    elif isinstance(value, (int, float)):
+        equal = held.try_cast("double") == float(value)
+    else:
+        equal = held == str(value)
+    return F.coalesce(equal, F.lit(False))
 
 
 def retrieve(index: DataFrame, query: DataFrame, k: int, tenant: str, file_ids: list | None = None, room: str | None = None, process: str | None = None, all_docs: bool = False, folder: str | None = None, terms: DataFrame | None = None, small: int = 15) -> DataFrame:

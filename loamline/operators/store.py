@@ -105,11 +105,3 @@ def image_rows(chunks: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFra
     first = first_of_each(a, ["image_id"], ["chunk_index", "document_id"])
     captions = first.select("tenant_id", F.sha2(F.concat_ws("\u0001", "tenant_id", "image_id"), 256).alias("id"), "document_id", "image_id", "image_url", F.trim("analysis").alias("content"), F.lit("image_analysis").alias("type"))
     return captions, a.select("tenant_id", "document_id", "image_id", "image_url")
-
-
-def captioned(chunks: DataFrame, images: DataFrame) -> DataFrame:
-    """Chunks with the captions of their page's images appended (images: file_id, page_number, image_index, analysis)."""
-    g = images.groupBy("file_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("image_index", "analysis"))).alias("a"))
-    c = chunks.join(g, ["file_id", "page_number"], "left")
-    text = F.concat_ws("\n\n", "content", F.nullif(F.array_join(F.transform("a", lambda x: x["analysis"]), "\n\n"), F.lit("")))
-    return c.withColumn("content", text).drop("a")

@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.text import file_extension, key_value_lines, markdown_table, page_text
@@ -62,9 +63,31 @@ def _table(rows: list[list[str]]) -> str:
     return "\n".join("| " + " | ".join(r) + " |" for r in [cells[0], ["---"] * width, *cells[1:]])
 
 
+def _marked(p: ElementTree.Element, notes: dict[str, dict], media: dict[str, str], row: int | None = None, column: int | None = None) -> tuple[str, list[dict], list[str]]:
+    """A paragraph's text, its comments (with the text they are about, by offsets in the paragraph, and the table cell) and its images."""
+    at, starts, anchors, length = {}, {}, {}, 0
+    for x in p.iter():
+        if x.tag == _W + "t":
+            length += len(x.text or "")
+        elif x.tag in (_W + "tab", _W + "br"):
+            length += 1
+        elif x.tag == _W + "commentRangeStart":
+            starts[x.get(_W + "id")] = length
+        elif x.tag == _W + "commentRangeEnd":
+            anchors[x.get(_W + "id")] = (starts.get(x.get(_W + "id"), 0), length)
+        elif x.tag == _W + "commentReference":
+            at[x.get(_W + "id")] = length
+    text, comments = _paragraph(p), []
+    for i in sorted({*anchors, *at}, key=str):
+        start, end = anchors.get(i, (at.get(i, 0),) * 2)
+        comments.append({"id": i, **notes.get(i, {"author": "", "date": "", "text": ""}), "start": start, "end": end, "anchor": text[start:end], "row": row, "column": column})
+    return text, comments, [media[i] for x in p.iter() for i in (x.get(_R + "embed"), x.get(_R + "id")) if i in media]
+
+
 def docx_blocks(data: bytes) -> list[dict]:
-    """Paragraphs and tables of a DOCX in order: type, index, text, Markdown, comments with the text they are about (by
-    offsets), [placeholders] with offsets, and the media its images point at."""
+    """Paragraphs and tables of a DOCX in order: type, index, text, Markdown, comments, [placeholders] with offsets, and the media its
+    images point at. Of a table, comments and images are those of its cells, comments with their row and column (from 0). A body
+    without any such text (all of it in content controls, say) gives the paragraphs that lie anywhere in it."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(_W + "body")
         names = z.namelist()
@@ -77,29 +100,23 @@ def docx_blocks(data: bytes) -> list[dict]:
             for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels")):
                 if "image" in r.get("Type", ""):
                     media[r.get("Id")] = posixpath.normpath(posixpath.join("word", r.get("Target", "")))
-    out = []
+    out: list[dict] = []
+
+    def add(kind: str, text: str, comments: list[dict], images: list[str]) -> None:
+        out.append({"type": kind, "index": len(out), "text": text, "markdown": text, "comments": comments, "placeholders": [{"marker": m[0], "offset": m.start()} for m in _PLACEHOLDER.finditer(text)], "images": images, "n_comments": len(notes)})
+
     for child in body if body is not None else []:
         if child.tag == _W + "p":
-            at, starts, anchors, length = {}, {}, {}, 0
-            for x in child.iter():
-                if x.tag == _W + "t":
-                    length += len(x.text or "")
-                elif x.tag in (_W + "tab", _W + "br"):
-                    length += 1
-                elif x.tag == _W + "commentRangeStart":
-                    starts[x.get(_W + "id")] = length
-                elif x.tag == _W + "commentRangeEnd":
-                    anchors[x.get(_W + "id")] = (starts.get(x.get(_W + "id"), 0), length)
-                elif x.tag == _W + "commentReference":
-                    at[x.get(_W + "id")] = length
-            text = _paragraph(child)
-            comments = [{"id": i, **notes.get(i, {"author": "", "date": "", "text": ""}), "start": (s := anchors.get(i, (at.get(i, 0),) * 2))[0], "end": s[1], "anchor": text[s[0] : s[1]]} for i in sorted({*anchors, *at}, key=str)]
-            images = [media[i] for x in child.iter() for i in (x.get(_R + "embed"), x.get(_R + "id")) if i in media]
-            out.append({"type": "paragraph", "index": len(out), "text": text, "markdown": text, "comments": comments, "placeholders": [{"marker": m[0], "offset": m.start()} for m in _PLACEHOLDER.finditer(text)], "images": images})
+            add("paragraph", *_marked(child, notes, media))
         elif child.tag == _W + "tbl":
-            rows = [["\n".join(map(_paragraph, c.iter(_W + "p"))) for c in r.iter(_W + "tc")] for r in child.iter(_W + "tr")]
-            text = _table(rows)
-            out.append({"type": "table", "index": len(out), "text": text, "markdown": text, "comments": [], "placeholders": [{"marker": m[0], "offset": m.start()} for m in _PLACEHOLDER.finditer(text)], "images": []})
+            cells = [[[_marked(p, notes, media, i, j) for p in c.iter(_W + "p")] for j, c in enumerate(r.iter(_W + "tc"))] for i, r in enumerate(child.iter(_W + "tr"))]
+            parts = [x for r in cells for c in r for x in c]
+            add("table", _table([["\n".join(t for t, _, _ in c) for c in r] for r in cells]), [n for _, ns, _ in parts for n in ns], [i for _, _, images in parts for i in images])
+    if body is not None and not any(b["text"].strip() for b in out):
+        out.clear()
+        for p in body.iter(_W + "p"):
+            if _paragraph(p).strip():
+                add("paragraph", *_marked(p, notes, media))
     return out
 
 
@@ -243,7 +260,7 @@ def image_format(data: Column, name: Column) -> Column:
 def delimited(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A CSV or TSV (by extension) with a header: UTF-8 if all its lines are, else CP949 if they are that, else Latin-1.
     Lines are checked where they lie, and Spark's reader splits the file over tasks, unless multi_line says that quoted
-    cells hold line feeds. It has no CP949: such a file is decoded whole, in one task."""
+    cells hold line feeds."""
     options = {"sep": "\t" if path.lower().endswith(".tsv") else ",", "header": True, "inferSchema": True}
 
     def sound(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,13 +278,16 @@ def delimited(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
     if utf8 is not False or cp949 is False:
         return spark.read.csv(path, encoding="ISO-8859-1" if utf8 is False else "UTF-8", multiLine=multi_line, **options)
 
-    def decoded(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in stream:
-            for data in batch["content"]:
-                yield pd.DataFrame({"line": re.split("\r\n|\n|\r", bytes(data).decode("cp949"))})
+    # in CP949 no byte of a double-byte character is a delimiter, a quote or a line feed, so Spark's reader may take the file as Latin-1,
+    # a character a byte, in as many splits as it likes; then the cells that are text get their characters
+    rows = spark.read.csv(path, encoding="ISO-8859-1", multiLine=multi_line, **options)
+    name = lambda c: c.encode("latin-1").decode("cp949", "replace")
+    return rows.select(*((_cp949(F.col(f"`{c}`")) if t == "string" else F.col(f"`{c}`")).alias(name(c)) for c, t in rows.dtypes))
+
 
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decoded, "line string").where("line <> ''")
-    return spark.read.csv(lines.rdd.map(lambda r: r[0]), **options)
+@F.pandas_udf(StringType())
+def _cp949(cells: pd.Series) -> pd.Series:
+    return cells.map(lambda x: None if x is None else x.encode("latin-1").decode("cp949", "replace"))
 
 
 def records(rows: DataFrame, options: dict[str, str], output: str = "output") -> DataFrame:
@@ -315,14 +335,40 @@ def page_blocks(words: DataFrame, keys: list[str], gap: float = 20.0) -> DataFra
     return g.select(*keys, "y", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("content"))
 
 
-def extraction_stats(blocks: list[dict], n_comments: int, text: str) -> dict[str, int]:
-    """Counts of what was found in a structured document (blocks as of docx_blocks)."""
-    kinds = [b["type"] for b in blocks]
-    return {
-        "paragraph_count": kinds.count("paragraph"),
-        "table_count": kinds.count("table"),
-        "comment_count": n_comments,
-        "placeholder_count": sum(len(b.get("placeholders") or ()) for b in blocks),
-        "image_count": sum(len(b.get("images") or ()) for b in blocks),
-        "flat_text_chars": len(text),
-    }
+_COMMENT = "struct<id:string,author:string,date:string,text:string,start:int,end:int,anchor:string,row:int,column:int>"
+_BLOCK = f"type string, index int, text string, markdown string, comments array<{_COMMENT}>, placeholders array<struct<marker:string,offset:int>>, images array<string>, n_comments int"
+
+
+def docx_structure(files: DataFrame) -> DataFrame:
+    """A row for each block of DOCX files (path, file_type, content), as of `docx_blocks`, with path and error; n_comments counts all
+    comments of the file. What cannot be read is a row with an error, and a file without blocks one without a type."""
+    names = [x.split()[0] for x in _BLOCK.split(", ")]
+
+    def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in stream:
+            rows = []
+            for path, data in batch.itertuples(index=False):
+                try:
+                    blocks = docx_blocks(bytes(data))
+                    rows += [(path, *(b[n] for n in names), None) for b in blocks] or [(path, *[None] * len(names), None)]
+                except Exception as e:
+                    rows.append((path, *[None] * len(names), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", *names, "error"])
+
+    return files.where("file_type = 'docx'").select("path", "content").mapInPandas(run, f"path string, {_BLOCK}, error string")
+
+
+def extraction_stats(blocks: DataFrame) -> DataFrame:
+    """What was found in each file of `docx_structure`: path, paragraph_count, table_count, comment_count, placeholder_count (of paragraphs),
+    image_count and flat_text_chars (blocks with text, a blank line between). Files with an error have none."""
+    sizes = lambda c: F.coalesce(F.sum(F.size(F.coalesce(c, F.array()))), F.lit(0))
+    text = F.trim(F.regexp_replace(F.coalesce("markdown", F.lit("")), r"\s+", " ")) != ""
+    chars = F.sum(F.when(text, F.length("markdown") + 2).otherwise(0))
+    return blocks.where("error is null").groupBy("path").agg(
+        F.count_if(F.col("type") == "paragraph").alias("paragraph_count"),
+        F.count_if(F.col("type") == "table").alias("table_count"),
+        F.coalesce(F.max("n_comments"), F.lit(0)).cast("long").alias("comment_count"),
+        sizes(F.when(F.col("type") == "paragraph", F.col("placeholders"))).alias("placeholder_count"),
+        sizes(F.col("images")).alias("image_count"),
+        F.greatest(chars - 2, F.lit(0)).alias("flat_text_chars"),
+    )

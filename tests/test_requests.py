@@ -21,6 +21,14 @@ def test_folder_tree_has_no_depth_limit_and_cycles_are_errors(spark):
         K.folder_tree(cycle)
 
 
+def test_folder_tree_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(K, "written", lambda df, f=K.written: rounds.append(1) or f(df))
+    chain = spark.range(1000).selectExpr("id", "nullif(id - 1, -1) as parent_id", "'x' as name").unionByName(spark.createDataFrame([(5000, 4999, "lost"), (5001, 5000, "lost")], "id long, parent_id long, name string"))
+    got = {r.id: r.level for r in K.folder_tree(chain).select("id", "level").collect()}
+    assert got == {i: i for i in range(1000)} and len(rounds) <= 12
+
+
 def test_cut_results_say_so(spark):
     c = spark.createDataFrame([("f", i, f"t{i}") for i in range(5)], "file_id string, chunk_index int, content string")
     some, all_ = N.full_text(c, ["file_id"], most=3).first(), N.full_text(c, ["file_id"], most=None).first()
@@ -84,6 +92,46 @@ def test_json_path(spark):
     d = spark.createDataFrame([('{"k": "a", "n": 1}',), ("no json",), (None,)], "meta string")
     assert [r[0] for r in d.select(R.json_equals(F.col("meta"), "k", "a")).collect()] == [True, False, False]
     assert d.where(R.json_equals(F.col("meta"), "n", 1)).count() == 1
+    typed = spark.createDataFrame([('{"b": true, "it\'s": "x", "n": 1.0, "o": {"k": 2}}',), ('{"b": "true"}',), ('{"b": false}',), ("[1]",)], "meta string")
+    asked = [("b", True, [True, True, False, False]), ("b", False, [False, False, True, False]), ("it's", "x", [True, False, False, False]), ("n", 1, [True, False, False, False]), ("o", '{"k":2}', [True, False, False, False]), ("none", "", [False] * 4)]
+    for key, value, want in asked:
+        assert [r[0] for r in typed.select(R.json_equals(F.col("meta"), key, value)).collect()] == want, key
+
+
+def test_delimited_cp949_is_read_in_splits(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes("이름,n\n".encode("cp949") + b"".join(f"한글 {i},{i}\n".encode("cp949") for i in range(20_000)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "32k")
+        got = S.delimited(spark, str(tmp_path / "x.csv"))
+        assert got.columns == ["이름", "n"] and got.groupBy(F.spark_partition_id()).count().count() >= 5
+        assert got.where("`이름` = concat('한글 ', n)").count() == 20_000 and got.schema["n"].dataType.simpleString() == "int"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_failures_of_a_model_are_told(spark):
+    images = spark.createDataFrame([("a", b"1"), ("b", b"2"), ("c", b"3")], "image_id string, image_data binary").coalesce(1)
+
+    def make():
+        def model(some):
+            if b"2" in map(bytes, some):
+                raise RuntimeError("no")
+            return ["x"] * (2 if b"3" in map(bytes, some) else 1)
+
+        return model
+
+    got = {r.image_id: (r.analysis, r.analysis_error) for r in I.described(images, make, 1).collect()}
+    assert got == {"a": ("x", None), "b": (None, "RuntimeError: no"), "c": (None, "2 answers for 1 images")}
+
+
+def test_names_with_a_line_feed_are_not_safe(spark):
+    from loamline.functions import text as T
+
+    got = spark.createDataFrame([("abc",), ("abc\n",)], "n string").select(T.safe_segment(F.col("n"))).collect()
+    assert [r[0] for r in got] == ["abc", "abc"]
 
 
 @pytest.mark.parametrize(("encoding", "word"), [("utf-8", "é漢"), ("utf-8-sig", "é"), ("cp949", "한글"), ("latin-1", "caf\xe9 \xff")])
@@ -93,9 +141,12 @@ def test_encodings_of_delimited_files(spark, tmp_path, encoding, word):
     assert got.columns == ["name", "n"] and [tuple(r) for r in got.collect()] == [(word, 1)]
 
 
-def test_extraction_stats():
-    blocks = [{"type": "paragraph", "placeholders": [1], "images": ["m"]}, {"type": "table", "placeholders": []}]
-    assert S.extraction_stats(blocks, 2, "abc") == {"paragraph_count": 1, "table_count": 1, "comment_count": 2, "placeholder_count": 1, "image_count": 1, "flat_text_chars": 3}
+def test_extraction_stats(spark):
+    kind = S._BLOCK.split(", ")
+    assert kind[0] == "type string"
+    blocks = spark.sql("select 'a' as path, t.type, t.index, t.text, t.markdown, cast(null as array<string>) as comments, t.placeholders, t.images, 2 as n_comments, cast(null as string) as error from values ('paragraph', 0, 'abc', 'abc', array(1), array('m')), ('table', 1, '', '', array(), array('n', 'o')) as t(type, index, text, markdown, placeholders, images)")
+    (got,) = S.extraction_stats(blocks).collect()
+    assert got.asDict() == {"path": "a", "paragraph_count": 1, "table_count": 1, "comment_count": 2, "placeholder_count": 1, "image_count": 3, "flat_text_chars": 3}
 
 
 def test_eviction_by_batches(spark, tmp_path):

@@ -114,3 +114,36 @@ def test_stream_sessions_equal_the_batch(spark, tmp_path):
     stream.writeStream.format("memory").queryName("sessions").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert {tuple(r) for r in spark.table("sessions").collect()} == batch and len(batch) == 3
     assert E.tumbling_metrics(spark.read.parquet(src).withColumn("event_type", F.lit("x"))).count() == 2
+
+
+def docx_of(body, comments="", rels=""):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/comments.xml", f"<w:comments {W}>{comments}</w:comments>")
+        z.writestr("word/_rels/document.xml.rels", f"<Relationships>{rels}</Relationships>")
+    return out.getvalue()
+
+
+CELL = '<w:tc><w:p><w:commentRangeStart w:id="7"/><w:r><w:t>price</w:t></w:r><w:commentRangeEnd w:id="7"/><w:r><w:t> now</w:t></w:r><w:r><a:blip r:embed="rId9"/></w:r></w:p></w:tc>'
+IN_CELLS = docx_of(
+    f"<w:p><w:r><w:t>top [x]</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc>{CELL}</w:tr></w:tbl>",
+    '<w:comment w:id="7" w:author="me"><w:p><w:r><w:t>too high</w:t></w:r></w:p></w:comment><w:comment w:id="8" w:author="you"><w:p/></w:comment>',
+    '<Relationship Id="rId9" Type="x/image" Target="media/q.png"/>',
+)
+
+
+def test_comments_and_images_in_cells():
+    p, t = S.docx_blocks(IN_CELLS)
+    assert t["images"] == ["word/media/q.png"] and p["comments"] == []
+    assert t["comments"] == [{"id": "7", "author": "me", "date": "", "text": "too high", "start": 0, "end": 5, "anchor": "price", "row": 0, "column": 1}]
+
+
+def test_structure_statistics_and_errors(spark):
+    inner = docx_of("<w:sdt><w:sdtContent><w:p><w:r><w:t>inside</w:t></w:r></w:p><w:p/></w:sdtContent></w:sdt>")
+    files = spark.createDataFrame([("a", "docx", IN_CELLS), ("b", "docx", b"junk"), ("c", "docx", inner), ("d", "docx", docx_of("")), ("e", "txt", b"no")], "path string, file_type string, content binary")
+    blocks = S.docx_structure(files)
+    got = {r["path"]: tuple(r)[1:] for r in S.extraction_stats(blocks).collect()}
+    assert got == {"a": (1, 1, 2, 1, 1, len("top [x]\n\n| a | price now |\n| --- | --- |")), "c": (1, 0, 0, 0, 0, 6), "d": (0, 0, 0, 0, 0, 0)}
+    assert [r["path"] for r in blocks.where("error is not null").collect()] == ["b"]
+    assert S._docx(inner) == [(0, "inside")]
