@@ -145,8 +145,8 @@ def vocabulary(name: str = TOKENIZER) -> str:
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END) -> None:
     """Encodes every whole text, appends end_id, and writes the ids to path in ascending id order.
 
-    A null text is empty: its ids are end_id alone. Rows whose id is null come first; repeated rows stay, in any order
-    among equals. Special tokens' strings in a text become their ids, as the library has it."""
+    A null text is empty: its ids are end_id alone. Rows whose id is null come first; rows of one id come by a hash of their texts;
+    repeated rows stay. Special tokens' strings in a text become their ids, as the library has it."""
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = pa.schema([("part", pa.int32()), ("doc_id", docs.select(id_col).limit(0).toArrow().schema.field(0).type), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -165,7 +165,9 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one id, or of none, are ordered by a hash of their texts, so that many of them still make several ranges
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ids = ordered.mapInArrow(run, f"part int, doc_id {id_type}, local_start long, n_tokens long, ids array<int>")
     ids.write.options(**FORMAT).parquet(path)
 

@@ -105,6 +105,17 @@ def test_token_files(spark):
     assert [r.doc_id for r in null] == [None, 1]
 
 
+def test_many_rows_without_an_id_make_several_parts(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "", "") for i in range(3000)] + [(7, f"more {i}", "", "") for i in range(1000)], DOCS)
+    path = T.new_path(spark, "tokens")
+    T.write(df, path)
+    parts = {r.part: r["count"] for r in spark.read.parquet(path).groupBy("part").count().collect()}
+    assert len(parts) >= 3 and max(parts.values()) < 2500
+    got = T.read_back(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 3000 + [7] * 1000
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=30), max_size=4))
 def test_word_lookups_equal_the_library(texts):
