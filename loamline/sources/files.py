@@ -1,8 +1,8 @@
 """Readers: folders of files to parsed rows, tables in files, listings, and records of other systems.
 
 Binary formats are parsed per row in Arrow-batched maps over Spark's `binaryFile` source, so reading parallelises over
-files; what cannot be parsed becomes a row with its error. Formats without a reader here (HWP) go to a parser that
-the caller registers.
+files; what cannot be parsed becomes a row with its error. Formats without a reader here go to a parser that the caller
+registers.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions.text import file_extension, key_value_lines, markdown_table, page_text
-from . import pdf
+from . import hwp, pdf
 
 IMAGES = ("png", "jpg", "jpeg", "gif", "webp", "bmp", "tiff")
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -186,6 +186,11 @@ def _hwpx(data: bytes) -> list[tuple[int, str]]:
     return out
 
 
+@parser("hwp")
+def _hwp(data: bytes) -> list[tuple[int, str]]:
+    return hwp.pages(data, _table)
+
+
 def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, file_name, file_type, size_bytes, modified_time, content) of all files below a folder."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)

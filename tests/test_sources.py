@@ -59,13 +59,14 @@ def test_folder_to_pages(spark, tmp_path):
     (tmp_path / "sub" / "d.docx").write_bytes(docx())
     (tmp_path / "x.xlsx").write_bytes(xlsx())
     (tmp_path / "bad.docx").write_bytes(b"no zip")
+    (tmp_path / "y.odd").write_bytes(b"?")
     (tmp_path / "y.hwp").write_bytes(b"?")
     (tmp_path / "i.png").write_bytes(b"\x89PNG")
     (tmp_path / "h.hwpx").write_bytes(packed(**{"Contents__section0_dot_xml": "<s><p><t>one</t></p><p><tbl><tr><tc><t>x</t></tc></tr></tbl></p></s>"}))
     files = S.binary_files(spark, str(tmp_path))
     docs = S.documents(files)
     rows = {r.file_name: r for r in docs.collect()}
-    assert rows["a b.txt"].content == "plain text " and rows["i.png"].content == "" and rows["y.hwp"].error == "unsupported: hwp"
+    assert rows["a b.txt"].content == "plain text " and rows["i.png"].content == "" and rows["y.odd"].error == "unsupported: odd" and rows["y.hwp"].error == "Damaged: not a compound file"
     assert rows["bad.docx"].content is None and rows["bad.docx"].error.startswith("BadZipFile")
     assert rows["d.docx"].content.startswith("Dear [name]") and rows["x.xlsx"].content.startswith("# S1\n\n| head |  | 3 |")
     assert rows["h.hwpx"].content == "one\n\n| x |\n| --- |"
