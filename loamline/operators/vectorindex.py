@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import cosine
+from ..session import written
 from .search import DIGITS, block_top_k
 
 #: Lists at most, vectors of the fitting sample at most, parts of a code, entries of a part, rounds of fitting.
@@ -244,7 +245,7 @@ def _candidates(spark: SparkSession, index: VectorIndex, rows: DataFrame, asked:
 
     def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
-            return pd.DataFrame(columns=["query_id", "list", "_key", "low", "high"])
+            return pd.DataFrame(columns=["query_id", "list", "_key", "low", "high", "top"])
         codes = np.frombuffer(b"".join(own["_code"]), np.uint8).reshape(len(own), parts)
         near, off = _bounds(codes, own["_miss"].to_numpy(), own["list"].to_numpy(), asked["query"], *shared.value)
         if refine is not None:
@@ -254,13 +255,15 @@ def _candidates(spark: SparkSession, index: VectorIndex, rows: DataFrame, asked:
             least = np.partition(low, len(own) - best, axis=1)[:, len(own) - best]
             q, r = np.nonzero(high >= least[:, None] - SLACK)
         else:
+            least = low.min(axis=1)
             q, r = (x.ravel() for x in np.indices(low.shape))
-        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[q], "list": own["list"].to_numpy()[r], "_key": own["_key"].to_numpy()[r], "low": low[q, r], "high": high[q, r]})
+        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[q], "list": own["list"].to_numpy()[r], "_key": own["_key"].to_numpy()[r], "low": low[q, r], "high": high[q, r], "top": low[q, r] >= least[q]})
 
     keys = ["list", "_piece", "_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, list int, _key long, low double, high double")
-    # the best-th lower bound of a query's rows: what cannot reach it goes
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, list int, _key long, low double, high double, top boolean")
+    found = written(found)  # read twice
+    # the best-th lower bound of a query's rows, which are among the best of their pieces: what cannot reach it goes
     w = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    bound = found.select("query_id", "low", F.row_number().over(w).alias("n")).where(F.col("n") == best).select("query_id", F.col("low").alias("bound"))
+    bound = found.where("top").select("query_id", "low", F.row_number().over(w).alias("n")).where(F.col("n") == best).select("query_id", F.col("low").alias("bound"))
     open_ = found.join(bound, "query_id", "left").where(F.col("bound").isNull() | (F.col("high") >= F.col("bound") - SLACK))
     return open_.select("query_id", "list", "_key").distinct()
