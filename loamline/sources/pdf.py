@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import markdown_table, strip
+from ..functions.text import let, markdown_table, strip
 
 #: A stream or a file's streams together are not unpacked beyond this; a file that asks for more is an error row.
 MOST_BYTES = 1 << 28
@@ -415,14 +415,20 @@ class Page:
         def show(s: bytes) -> None:
             nonlocal tm
             font = state["font"]
-            for code, text, width in font.codes(s) if font else ():
-                m = _times((state["size"] * state["Tz"], 0, 0, state["size"], 0, state["Ts"]), _times(tm, state["ctm"]))
-                corners = [_at(m, x, y) for x in (0, width) for y in (font.down, font.up)]
-                xs, ys = zip(*corners)
-                if state["Tr"] != 3:
-                    self.glyphs.append((text, min(xs), min(ys), max(xs), max(ys)))
-                step = (width * state["size"] + state["Tc"] + (state["Tw"] if code == 32 and font.bytes == 1 else 0)) * state["Tz"]
-                tm = _times((1, 0, 0, 1, step, 0), tm)
+            if font is None:
+                return
+            # from text space to the page, once for the whole string: a glyph is a box from x to x + its width
+            m0, m1, m2, m3, m4, m5 = _times(tm, state["ctm"])
+            size, stretch, rise, shown = state["size"], state["Tz"], state["Ts"], state["Tr"] != 3
+            low, high, x = font.down * size + rise, font.up * size + rise, 0.0
+            for code, text, width in font.codes(s):
+                if shown:
+                    end = x + width * size * stretch
+                    xs = (x * m0 + low * m2, x * m0 + high * m2, end * m0 + low * m2, end * m0 + high * m2)
+                    ys = (x * m1 + low * m3, x * m1 + high * m3, end * m1 + low * m3, end * m1 + high * m3)
+                    self.glyphs.append((text, min(xs) + m4, min(ys) + m5, max(xs) + m4, max(ys) + m5))
+                x += (width * size + state["Tc"] + (state["Tw"] if code == 32 and font.bytes == 1 else 0)) * stretch
+            tm = _times((1, 0, 0, 1, x, 0), tm)
 
         def next_line(x: float, y: float) -> None:
             nonlocal tm, line
@@ -602,9 +608,17 @@ def pdf_items(files: DataFrame) -> DataFrame:
     """A row for each page of files (path, content): path and ITEMS."""
 
     def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, words = [], 0  # pages of many small files go on together, up to a bounded number of words
         for batch in stream:
             for path, data in batch.itertuples(index=False):
-                yield pd.DataFrame([(path, *r) for r in rows_of(bytes(data or b""))], columns=["path", *COLUMNS])
+                for row in rows_of(bytes(data or b"")):
+                    held.append((path, *row))
+                    words += len(row[3] or ())
+                    if words > 50_000 or len(held) >= 1000:
+                        yield pd.DataFrame(held, columns=["path", *COLUMNS])
+                        held, words = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["path", *COLUMNS])
 
     return files.select("path", "content").mapInPandas(run, f"path string, {ITEMS}")
 
@@ -645,11 +659,15 @@ def text_blocks(words: Column, gap: float = 20.0) -> Column:
 
 
 def table_text(t: Column, words: Column) -> Column:
-    """A table's cells as Markdown; a cell's words are lines as in blocks."""
-    own = F.filter(words, lambda w: _inside(w, t))
+    """A table's cells as Markdown; a cell's words are lines as in blocks. Its words, and then its cells, are found once."""
     between = lambda borders, i, low, high: ((low + high) / 2 >= F.get(borders, i)) & ((low + high) / 2 < F.get(borders, i + 1))
-    cell = lambda r, c: F.array_join(F.transform(text_blocks(F.filter(own, lambda w: between(t["ys"], r, w["top"], w["bottom"]) & between(t["xs"], c, w["x0"], w["x1"])), 1e9), lambda b: b["text"]), "\n")
-    return markdown_table(F.transform(F.sequence(F.lit(0), F.size(t["ys"]) - 2), lambda r: F.transform(F.sequence(F.lit(0), F.size(t["xs"]) - 2), lambda c: cell(r, c))))
+
+    def cells(own: Column) -> Column:
+        cell = lambda row, c: F.array_join(F.transform(text_blocks(F.filter(row, lambda w: between(t["xs"], c, w["x0"], w["x1"])), 1e9), lambda b: b["text"]), "\n")
+        line = lambda r: let(F.filter(own, lambda w: between(t["ys"], r, w["top"], w["bottom"])), lambda row: F.transform(F.sequence(F.lit(0), F.size(t["xs"]) - 2), lambda c: cell(row, c)))
+        return F.transform(F.sequence(F.lit(0), F.size(t["ys"]) - 2), line)
+
+    return let(let(F.filter(words, lambda w: _inside(w, t)), cells), markdown_table)
 
 
 def page_parts(words: Column, tables: Column, gap: float = 20.0) -> Column:
