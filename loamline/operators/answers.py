@@ -1,18 +1,24 @@
-"""Whole requests as one plan: answers to questions from retrieved chunks, and chunks of the files that requests name."""
+"""Whole requests as plans: answers to questions from retrieved chunks, and chunks of the files that requests name."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import language, strip
+from ..session import written
 
 # What a question without sources gets, by its language.
 NO_SOURCES = {"en": "I don't have enough information to answer that question.", "ko": "질문에 답변하기에 충분한 정보가 없습니다."}
 
+#: By what a request names a file, in the order in which they are tried.
+KINDS = ("file_id", "file_path", "file_name")
+
 
 def source_block(number: Column, file_name: Column, section: Column, page: Column, chunk: Column, content: Column) -> Column:
     """One source of a prompt: its number and file, section, page and chunk where they are known, on a line above its content."""
@@ -53,6 +59,16 @@ def path_candidates(path: Column, prefix: str = "files/") -> Column:
     return F.when(raw == "", F.array().cast("array<string>")).otherwise(F.filter(F.array_distinct(F.array(raw, other)), lambda p: p != ""))
 
 
+def _first_of_keys(chunks: DataFrame, keys: DataFrame, most: int) -> DataFrame:
+    """The first `most` chunks of each of keys (_t, _kind, _value, _r), by number and id. A chunk offers its id, path and name, to keys of
+    its room and to those of any (_r null)."""
+    by = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in KINDS))
+    offered = chunks.withColumn("_by", F.explode(by)).withColumn("_room", F.explode(F.array_distinct(F.array(F.lit(None), F.col("room_id")))))
+    on = (F.col("tenant_id") == F.col("_t")) & (F.col("_by.kind") == F.col("_kind")) & (F.col("_by.value") == F.col("_value")) & F.col("_room").eqNullSafe(F.col("_r"))
+    w = Window.partitionBy("_t", "_kind", "_value", "_r").orderBy("chunk_index", "id")
+    return offered.join(keys, on).drop("_by", "_room").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
 def requested_chunks(chunks: DataFrame, requests: DataFrame, limit: int = 200) -> DataFrame:
     """The chunks of the files that requests (request, tenant_id, and file_id, file_path, file_name and room_id, each maybe null) name.
 
@@ -65,11 +81,14 @@ def requested_chunks(chunks: DataFrame, requests: DataFrame, limit: int = 200) -
     asked = requests.select("request", F.col("tenant_id").alias("_t"), F.col("room_id").alias("_r"), F.posexplode(F.array(F.struct(F.lit("file_id").alias("kind"), F.array("file_id").alias("value")), F.struct(F.lit("file_path").alias("kind"), path_candidates(F.col("file_path")).alias("value")), F.struct(F.lit("file_name").alias("kind"), F.array("file_name").alias("value")))).alias("_k", "_by"))
     asked = asked.select("request", "_t", "_r", (F.col("_k") * 10).alias("_k"), F.col("_by.kind").alias("_kind"), F.posexplode("_by.value").alias("_n", "_value")).where(F.coalesce("_value", F.lit("")) != "")
     asked = asked.withColumn("_k", F.col("_k") + F.col("_n")).drop("_n")
-    # one equi-join: a chunk offers its id, path and name
-    kinds = ["file_id", "file_path", "file_name"]
-    offered = chunks.withColumn("_by", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("value")) for k in kinds))))
-    on = (F.col("tenant_id") == F.col("_t")) & (F.col("_by.kind") == F.col("_kind")) & (F.col("_by.value") == F.col("_value"))
-    found = offered.join(asked, on).where(F.col("_r").isNull() | (F.col("room_id") == F.col("_r")))
+    # many requests may name one file and many files may have one name: what each asked key can give (the first chunks, and one more that
+    # tells there are more) is picked without texts, then only these chunks take their texts along
+    keys = written(asked.select("_t", "_kind", "_value", "_r").distinct())
+    ref = ["tenant_id", "file_id", "chunk_index", "id"]
+    chosen = _first_of_keys(chunks.select(*dict.fromkeys([*ref, "room_id", *KINDS])), keys, limit + 1).select(*(F.col(c).alias(f"_{c}") for c in ref)).distinct()
+    kept = chunks.join(written(chosen), reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ref)), "left_semi")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"f.{c}")) for c in ("_t", "_kind", "_value", "_r")]
+    found = _first_of_keys(kept, keys, limit + 1).alias("f").join(asked.alias("a"), reduce(and_, same)).select("request", "_k", "a._kind", *(F.col(f"f.{c}").alias(c) for c in chunks.columns))
     w = Window.partitionBy("request")
     found = found.withColumn("_first", F.min("_k").over(w)).where("_k = _first")
     found = found.withColumns({"seq": F.row_number().over(w.orderBy("chunk_index", "id")), "truncated": F.count("*").over(w) > limit}).where(F.col("seq") <= limit)

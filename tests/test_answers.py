@@ -58,3 +58,28 @@ def test_sentences(spark):
     texts = ["One. Two! three? 4 is a number.\n\nFive", "", None, "no end", " A.  B. C "]
     got = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(C.sentences(F.col("t")).alias("s")).collect()]
     assert got == [["One.", "Two! three?", "4 is a number.", "Five"], [], [], ["no end"], ["A.", "B.", "C"]]
+
+
+def most_rows(plan):
+    """The most rows that an operator of a plan has put out."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return most_rows(plan.executedPlan())
+    inner = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, inner)])
+
+
+def test_requests_by_a_common_name_do_not_meet_all_its_chunks(spark):
+    n = 200
+    chunks = spark.range(n).select(F.lit("t").alias("tenant_id"), F.col("id").cast("string").alias("file_id"), F.concat(F.lit("p"), "id").alias("file_path"), F.lit("same").alias("file_name"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("chunk_index"))
+    chunks = chunks.select("*", F.concat_ws("/", "file_id", "chunk_index").alias("id"), F.when(F.col("file_id") == "7", "r").alias("room_id"), F.lit("text").alias("content"))
+    none = F.lit(None).cast("string")
+    asked = spark.range(n).select(F.col("id").alias("request"), F.lit("t").alias("tenant_id"), none.alias("file_id"), none.alias("file_path"), F.lit("same").alias("file_name"), F.when(F.col("id") == 1, "r").alias("room_id"))
+    found = A.requested_chunks(chunks, asked, 3)
+    got = {}
+    for x in found.collect():
+        got.setdefault(x.request, []).append((x.seq, x.id, x.truncated))
+    first = sorted(f"{i}/0" for i in range(n))[:3]
+    assert {k: sorted(v) for k, v in got.items()} == {i: [(s + 1, f"7/{s}" if i == 1 else first[s], True) for s in range(3)] for i in range(n)}
+    assert most_rows(found._jdf.queryExecution().executedPlan()) <= 6 * 10 * n < n * 10 * n
