@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 from ..functions.text import cosine, key_text
 
 DIGITS, RRF = 6, 60
+#: Scores that a task holds at once.
+CELLS = 1 << 21
 
 
 def metadata_filter(where: Mapping[str, Any], exclude: list | None = None, exclude_col: str = "chunk_id") -> Column:
@@ -47,27 +49,42 @@ def top_k(index: DataFrame, query: DataFrame, k: int, where: Column | None = Non
     return hits.orderBy(F.desc("score"), "id").limit(k)
 
 
-def _best(batch: pd.DataFrame, asked: list[tuple[int, np.ndarray]], k: int) -> pd.DataFrame:
-    """The k best rows of a batch (id, embedding, ...) for each query, by a matrix product."""
-    vectors = batch["embedding"]
-    batch, ids = batch.drop(columns="embedding"), batch["id"].to_numpy()
-    sizes = vectors.map(lambda v: 0 if v is None else len(v)).to_numpy()
-    scores = np.zeros((len(asked), len(batch)))
-    for n in {len(q) for _, q in asked}:
-        mine, at = [i for i, (_, q) in enumerate(asked) if len(q) == n], np.flatnonzero(sizes == n)
-        if n and len(at):
-            m, q = np.stack(vectors.iloc[at].to_numpy()).astype(float), np.stack([asked[i][1] for i in mine])
-            norms = np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1))
+def by_size(vectors: pd.Series, wanted: set[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each wanted length the places of the vectors that have it, these as a matrix, and their norms."""
+    sizes, out = vectors.map(lambda v: 0 if v is None else len(v)).to_numpy(), {}
+    for n in wanted - {0}:
+        at = np.flatnonzero(sizes == n)
+        if len(at):
+            m = np.stack(vectors.iloc[at].to_numpy()).astype(float)
+            out[n] = at, m, np.linalg.norm(m, axis=1)
+    return out
+
+
+def _best(batch: pd.DataFrame, asked: list[tuple[int, np.ndarray]], k: int, cells: int = CELLS) -> pd.DataFrame:
+    """The k best rows of a batch (id, embedding, ...) for each query, by matrix products of at most `cells` scores."""
+    batch, ids, held = batch.drop(columns="embedding"), batch["id"].to_numpy(), by_size(batch["embedding"], {len(q) for _, q in asked})
+    best, got, step = [], [], max(1, cells // max(1, len(batch)))
+    for low in range(0, len(asked), step):
+        some = asked[low : low + step]
+        scores = np.zeros((len(some), len(batch)))
+        for n in {len(q) for _, q in some} & set(held):
+            at, m, own = held[n]
+            mine = [i for i, (_, q) in enumerate(some) if len(q) == n]
+            q = np.stack([some[i][1] for i in mine])
+            norms = np.outer(np.linalg.norm(q, axis=1), own)
             scores[np.ix_(mine, at)] = np.round(np.divide(q @ m.T, norms, out=np.zeros_like(norms), where=norms > 0), DIGITS)
-    best = [np.lexsort((ids, -s))[:k] if len(s) <= 4 * k else _lowest(ids, s, k) for s in scores]
+        best += [lowest(ids, s, k) for s in scores]
+        got += [s[b] for s, b in zip(scores, best[low:])]
     out = batch.iloc[np.concatenate(best)].copy()
     out.insert(0, "query_id", np.repeat([i for i, _ in asked], [len(b) for b in best]))
-    return out.assign(score=np.concatenate([s[b] for s, b in zip(scores, best)]))
+    return out.assign(score=np.concatenate(got))
 
 
-def _lowest(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    least = np.partition(scores, len(scores) - k)[len(scores) - k]
-    some = np.flatnonzero(scores >= least)
+def lowest(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k highest scores; of equal ones those of the lowest ids."""
+    if len(scores) <= 4 * k:
+        return np.lexsort((ids, -scores))[:k]
+    some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 

@@ -168,3 +168,21 @@ def test_store(spark):
     assert abs(sum(v * v for v in e[0].embedding) - 1) < 1e-6 and not any(e[1].embedding)
     flat = W.flat_metadata(spark.createDataFrame([("a", 1, ["x"])], "id string, n int, tags array<string>"))
     assert flat.columns == ["document_row_id", "n", "type"]
+
+
+def test_scores_are_held_for_a_few_queries_at_once():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    m, q = rng.normal(size=(4000, 8)), rng.normal(size=(3000, 8))
+    batch = pd.DataFrame({"id": np.arange(len(m)), "embedding": list(m)})
+    tracemalloc.start()
+    found = S._best(batch, list(enumerate(q)), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.1 * 8 * S.CELLS * 5 < 8 * len(m) * len(q)  # which are all scores at once
+    scores = np.round((q @ m.T) / np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1)), 6)
+    assert found["id"].tolist() == [i for s in scores for i in np.lexsort((np.arange(len(m)), -s))[:3]]
