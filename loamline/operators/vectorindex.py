@@ -13,25 +13,24 @@ Centroids, books and row counts of lists are bounded by LISTS and go through the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from ..functions.text import cosine
-from ..session import written
-from .search import DIGITS, block_top_k
+from .search import CELLS, DIGITS, block_top_k, by_size, lowest
 
 #: Lists at most, vectors of the fitting sample at most, parts of a code, entries of a part, rounds of fitting.
 LISTS, SAMPLE, PARTS, ENTRIES, ROUNDS = 1 << 14, 1 << 16, 16, 256, 8
 #: Half of the last digit of scores, and the errors of sums: bounds are compared with it, so that equal scores all stay.
 SLACK = 2e-6
-OWN = ["_code", "_miss", "_key", "list"]
+#: Queries that are given their lists at once.
+AT_ONCE = 1 << 8
 
 
 def unit(vectors: pd.Series, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,25 +157,37 @@ def added(index: VectorIndex, rows: DataFrame) -> None:
     coded.hint("rebalance", "list").sortWithinPartitions("list", "id").write.mode("append").partitionBy("list").parquet(f"{index.path}/lists")
 
 
+def _choice(centroids: np.ndarray, counts: dict[int, int], n: int | None, rows_wanted: int) -> Callable[[pd.Series], list[list[int]]]:
+    """Queries to the lists that each asks, as of `probes`."""
+    held = [(i, c) for i, c in sorted(counts.items()) if i >= 0]
+    lists, sizes = np.array([i for i, _ in held], np.int64), np.array([c for _, c in held], np.int64)
+    centroids = centroids[lists] if len(lists) else centroids[:0]
+
+    def asked(queries: pd.Series) -> list[list[int]]:
+        q, sound = unit(queries, centroids.shape[1])
+        order = np.argsort(-(q @ centroids.T), axis=1, kind="stable")
+        out = []
+        for i in range(len(queries)):
+            upto = len(lists)
+            if n is not None and sound[i]:
+                upto = max(n, int(np.searchsorted(np.cumsum(sizes[order[i]]), rows_wanted)) + 1)
+            out.append([-1, *lists[order[i, :upto]].tolist()])
+        return out
+
+    return asked
+
+
 def probes(index: VectorIndex, queries: DataFrame, counts: dict[int, int], n: int | None, rows_wanted: int) -> DataFrame:
     """queries (query_id, query) with the lists to ask: list -1, and the n nearest of the others that have rows, or more until they have
     rows_wanted; all of them if n is None or the query has no direction."""
-    held = [(i, c) for i, c in sorted(counts.items()) if i >= 0]
-    lists, sizes = np.array([i for i, _ in held], np.int64), np.array([c for _, c in held], np.int64)
-    shared = queries.sparkSession.sparkContext.broadcast((index.centroids[lists] if len(lists) else index.centroids[:0], lists, sizes))
+    shared = queries.sparkSession.sparkContext.broadcast((index.centroids, counts))
 
     def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centroids, lists, sizes = shared.value
+        choose = _choice(*shared.value, n, rows_wanted)
         for batch in stream:
-            q, sound = unit(batch["query"], centroids.shape[1])
-            order = np.argsort(-(q @ centroids.T), axis=1, kind="stable")
-            asked = []
-            for i in range(len(batch)):
-                upto = len(lists)
-                if n is not None and sound[i]:
-                    upto = max(n, int(np.searchsorted(np.cumsum(sizes[order[i]]), rows_wanted)) + 1)
-                asked.append([-1, *lists[order[i, :upto]].tolist()])
-            yield batch.assign(lists=asked)
+            for low in range(0, len(batch), AT_ONCE):
+                some = batch.iloc[low : low + AT_ONCE]
+                yield some.assign(lists=choose(some["query"]))
 
     found = queries.select("query_id", "query").mapInPandas(run, "query_id long, query array<double>, lists array<int>")
     return found.select("query_id", "query", F.explode("lists").alias("list"))
@@ -198,72 +209,152 @@ def lists_for(spark: SparkSession, index: VectorIndex, k: int, recall: float = 0
     return int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1
 
 
+def _decoded(codes: np.ndarray, lists: np.ndarray, centroids: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that codes stand for; zeros in list -1."""
+    parts, entries, m = books.shape
+    out = np.zeros((len(lists), parts * m))
+    at = np.flatnonzero(lists >= 0)
+    if entries and len(at):
+        for p, book in enumerate(books):
+            out[at, p * m : (p + 1) * m] = book[codes[at, p]]
+    out = out[:, : centroids.shape[1]]
+    out[at] += centroids[lists[at]]
+    return out
+
+
 def _bounds(codes: np.ndarray, miss: np.ndarray, lists: np.ndarray, queries: pd.Series, centroids: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The cosine of each query with each row by the row's code, and how far off it can be."""
     q, sound = unit(queries, centroids.shape[1])
-    parts, entries, m = books.shape
-    near = np.where(lists >= 0, 1.0, 0.0) * (q @ np.where(lists[:, None] >= 0, centroids[np.maximum(lists, 0)], 0.0).T) if len(centroids) else np.zeros((len(q), len(lists)))
-    if entries:
-        padded = np.zeros((len(q), parts * m))
-        padded[:, : q.shape[1]] = q
-        for p, book in enumerate(books):
-            near += np.where(lists >= 0, 1.0, 0.0) * (padded[:, p * m : (p + 1) * m] @ book.T)[:, codes[:, p]]
-    return near, np.where(sound[:, None], miss[None, :], 2.0)
+    return q @ _decoded(codes, lists, centroids, books).T, np.where(sound[:, None], miss[None, :], 2.0)
 
 
-def nearest(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int, lists: int | None = 8, where: Column | None = None, keep: list[str] | None = None, refine: int | None = None, tile: int = 1 << 14, block: int = 1 << 9) -> DataFrame:
+def nearest(spark: SparkSession, index: VectorIndex, queries: DataFrame, k: int, lists: int | None = 8, where: Column | None = None, keep: list[str] | None = None, refine: int | None = None, tile: int = 1 << 14, block: int = 1 << 12) -> DataFrame:
     """The k rows most similar to each of queries (query_id long, query): query_id, id, keep, score, rank, as of `search.block_top_k`.
 
     lists: how many are asked for a query (None: all, which is exact). where: a filter of the index's columns that holds before anything
     is ranked; lists without rows that pass do not count, and more lists are asked until 4 k such rows are there. refine: compare only the
-    refine x k rows that are best by code, instead of all that the codes leave open."""
+    refine x k rows that are best by code, instead of all that the codes leave open.
+
+    Lists meet queries twice, in tiles of at most `tile` rows (a longer list in pieces) and blocks of queries: once without vectors, for
+    the score that k rows of a query reach at least, then to compare in full the rows whose codes leave it open. A task gives k rows for
+    a query each time, so pairs of rows and queries are never written."""
     rows = index.rows(spark) if where is None else index.rows(spark).where(where)
     counts = {r["list"]: r["count"] for r in rows.groupBy("list").count().collect()}  # LISTS + 1 rows at most
-    asked = probes(index, queries, counts, lists, 4 * k)
-    wanted = sorted({r["list"] for r in asked.select("list").distinct().collect()} & set(counts))
+    wanted = sorted({r["list"] for r in probes(index, queries, counts, lists, 4 * k).select("list").distinct().collect()} & set(counts))
     if set(counts) - set(wanted):
         rows = rows.where(F.col("list").isin(wanted))
-    found = _candidates(spark, index, rows, asked, counts, k, refine, tile, block)
-    full = rows.select("list", "_key", "id", "embedding", *(keep or []))
-    scored = found.join(full, ["list", "_key"]).join(queries.select("query_id", "query"), "query_id")
-    scored = scored.select("query_id", "id", *(keep or []), F.round(cosine(F.col("embedding"), F.col("query")), DIGITS).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _candidates(spark: SparkSession, index: VectorIndex, rows: DataFrame, asked: DataFrame, counts: dict[int, int], k: int, refine: int | None, tile: int, block: int) -> DataFrame:
-    """(query_id, list, _key) of rows that can be among the k best. Lists are read without their vectors. A list of over `tile` rows goes in
-    pieces, and the queries that ask it in blocks, so that a task holds a bounded piece and block."""
-    pieces = spark.createDataFrame([(i, -(-c // tile)) for i, c in counts.items()], "list int, pieces int")
-    blocks = max(1, -(-asked.select("query_id").distinct().count() // block))
-    place = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
-    left = rows.select("list", "_key", "_code", "_miss").join(F.broadcast(pieces), "list").withColumn("_piece", place("_key", F.col("pieces"))).drop("pieces")
-    left = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.join(F.broadcast(pieces), "list").select("list", "query_id", "query", place("query_id", F.lit(blocks)).alias("_block"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("_piece"))
-    shared, parts = spark.sparkContext.broadcast((index.centroids, index.books)), index.books.shape[0]
+    blocks = max(1, -(-queries.select("query_id").distinct().count() // block))
+    tiles, place = _tiles({i: counts[i] for i in wanted}, tile), lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    lay = spark.createDataFrame([(i, *t) for i, t in tiles.items()], "list int, first int, pieces int")
+    dealt = rows.join(F.broadcast(lay), "list").withColumn("_tile", F.col("first") + place("_key", F.col("pieces")))
+    dealt = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    shared = spark.sparkContext.broadcast((index.centroids, index.books, counts, tiles))
     best = k if refine is None else refine * k
 
-    def run(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def expanded(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        choose = _choice(shared.value[0], shared.value[2], lists, 4 * k)
+        for batch in stream:
+            for low in range(0, len(batch), AT_ONCE):
+                some = batch.iloc[low : low + AT_ONCE]
+                own = [_tiles_of(asked, shared.value[3]) for asked in choose(some["query"])]
+                out = some.loc[some.index.repeat([len(t) for t in own])]
+                yield out.assign(_tile=[i for t in own for i in t], lists=pd.Series([x for t in own for x in t.values()], index=out.index, dtype=object))
+
+    def asked(some: DataFrame) -> DataFrame:
+        """query_id, query, bound and whether the query has a null component, with each tile to ask and its lists."""
+        some = some.select("query_id", F.col("query").cast("array<double>").alias("query"), "bound", _holed("query"))
+        out = some.mapInPandas(expanded, "query_id long, query array<double>, bound double, _hole boolean, _tile int, lists array<int>")
+        return out.withColumn("_block", place("query_id", F.lit(blocks)))
+
+    def seen(own: pd.DataFrame, asked: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """By slices of the queries: the cosines by code, and how far off they can be (not a number in lists that are not asked)."""
+        centroids, books = shared.value[:2]
+        held = own["list"].to_numpy()
+        decoded = _decoded(np.frombuffer(b"".join(own["_code"]), np.uint8).reshape(len(own), -1), held, centroids, books)
+        (q, sound), miss = unit(asked["query"], centroids.shape[1]), own["_miss"].to_numpy()
+        names, number = np.unique(held, return_inverse=True)
+        step = max(1, CELLS // len(own))
+        for low in range(0, len(asked), step):
+            mine = slice(low, low + step)
+            open_ = np.array([np.isin(names, x) for x in asked["lists"].iloc[mine]])[:, number]
+            off = 0.0 if refine is not None else np.where(sound[mine, None], miss[None, :], 2.0)
+            yield mine, q[mine] @ decoded.T, np.where(open_, off, np.nan)
+
+    def lows(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "low": []})]
+        for mine, near, off in seen(own, asked) if len(own) and len(asked) else ():
+            low = np.where(np.isnan(off), -np.inf, near - off)
+            low = np.partition(low, len(own) - best, axis=1)[:, -best:] if len(own) > best else low
+            out = pd.DataFrame({"query_id": np.repeat(asked["query_id"].to_numpy()[mine], low.shape[1]), "low": low.ravel()})
+            found.append(out[out["low"] > -np.inf])
+        return pd.concat(found)
+
+    schema = StructType([StructField("query_id", LongType()), *rows.select("id", *(keep or [])).schema.fields, StructField("score", DoubleType())])
+
+    def full(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
-            return pd.DataFrame(columns=["query_id", "list", "_key", "low", "high", "top"])
-        codes = np.frombuffer(b"".join(own["_code"]), np.uint8).reshape(len(own), parts)
-        near, off = _bounds(codes, own["_miss"].to_numpy(), own["list"].to_numpy(), asked["query"], *shared.value)
-        if refine is not None:
-            off = np.zeros_like(off)
-        low, high = near - off, near + off
-        if len(own) > best:
-            least = np.partition(low, len(own) - best, axis=1)[:, len(own) - best]
-            q, r = np.nonzero(high >= least[:, None] - SLACK)
-        else:
-            least = low.min(axis=1)
-            q, r = (x.ravel() for x in np.indices(low.shape))
-        return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[q], "list": own["list"].to_numpy()[r], "_key": own["_key"].to_numpy()[r], "low": low[q, r], "high": high[q, r], "top": low[q, r] >= least[q]})
-
-    keys = ["list", "_piece", "_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, list int, _key long, low double, high double, top boolean")
-    found = written(found)  # read twice
-    # the best-th lower bound of a query's rows, which are among the best of their pieces: what cannot reach it goes
-    w = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    bound = found.where("top").select("query_id", "low", F.row_number().over(w).alias("n")).where(F.col("n") == best).select("query_id", F.col("low").alias("bound"))
-    open_ = found.join(bound, "query_id", "left").where(F.col("bound").isNull() | (F.col("high") >= F.col("bound") - SLACK))
-    return open_.select("query_id", "list", "_key").distinct()
+            return pd.DataFrame(columns=schema.names)
+        ids, hole, kept, query_ids, scores = own["id"].to_numpy(), own["_hole"].to_numpy(bool), [], [], []
+        sizes = asked["query"].map(lambda v: 0 if v is None else len(v)).to_numpy()
+        held, empty = by_size(own["embedding"], set(sizes.tolist())), asked["_hole"].to_numpy(bool)
+        bound = asked["bound"].to_numpy(float)
+        for mine, near, off in seen(own, asked):
+            least = np.where(np.isnan(bound[mine]), -np.inf, bound[mine])[:, None] - SLACK
+            open_ = near + off >= least
+            score = np.zeros(near.shape)
+            for n in set(sizes[mine].tolist()) & set(held):
+                at, m, norms = held[n]
+                some = np.flatnonzero(sizes[mine] == n)
+                in_full = open_[np.ix_(some, at)].any(axis=0)  # rows that the codes leave open to some query
+                at, m, norms = at[in_full], m[in_full], norms[in_full]
+                q = np.stack(asked["query"].iloc[mine].iloc[some].to_numpy()).astype(float)
+                both = np.outer(np.linalg.norm(q, axis=1), norms)
+                with np.errstate(invalid="ignore"):
+                    score[np.ix_(some, at)] = np.round(np.divide(q @ m.T, both, out=np.zeros_like(both), where=both != 0), DIGITS)
+            score[:, hole], score[empty[mine]] = 0.0, 0.0
+            rank = np.where(open_, np.where(np.isnan(score), np.inf, score), -np.inf)
+            for i, r in enumerate(rank):
+                top = lowest(ids, r, k)
+                top = top[r[top] > -np.inf]
+                kept.append(top)
+                scores.append(score[i, top])
+                query_ids.append(np.full(len(top), asked["query_id"].iloc[mine.start + i]))
+        out = own[["id", *(keep or [])]].iloc[np.concatenate(kept)].copy()
+        out.insert(0, "query_id", np.concatenate(query_ids))
+        return out.assign(score=np.concatenate(scores))
+
+    keys = ["_tile", "_block"]
+    codes = dealt.select(*keys, "list", "_code", "_miss")
+    first = codes.groupBy(*keys).cogroup(asked(queries.withColumn("bound", F.lit(None).cast("double"))).groupBy(*keys)).applyInPandas(lows, "query_id long, low double")
+    w = Window.partitionBy("query_id")
+    bound = first.withColumn("n", F.row_number().over(w.orderBy(F.desc("low")))).where(F.col("n") == best).select("query_id", F.col("low").alias("bound"))
+    vectors = dealt.select(*keys, "list", "_code", "_miss", _holed("embedding"), "id", "embedding", *(c for c in keep or [] if c not in ("id", "list")))
+    found = vectors.groupBy(*keys).cogroup(asked(queries.join(bound, "query_id", "left")).groupBy(*keys)).applyInPandas(full, schema)
+    return found.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def _holed(name: str) -> Column:
+    """Whether a vector has a null component, which Arrow's arrays in tasks show as one that is not a number."""
+    return F.coalesce(F.exists(name, lambda x: x.isNull()), F.lit(False)).alias("_hole")
+
+
+def _tiles(counts: dict[int, int], tile: int) -> dict[int, tuple[int, int]]:
+    """The first tile and the number of tiles of each list: short ones share a tile, one of over `tile` rows has tiles of its own."""
+    out, at, held = {}, 0, 0
+    for i, n in sorted(counts.items()):
+        if held and held + n > tile:
+            at, held = at + 1, 0
+        pieces = max(1, -(-n // tile))
+        out[i] = at, pieces
+        at, held = (at, held + n) if pieces == 1 else (at + pieces, 0)
+    return out
+
+
+def _tiles_of(lists: list[int], tiles: dict[int, tuple[int, int]]) -> dict[int, list[int]]:
+    """The tiles of some lists, and which of the lists each has."""
+    out: dict[int, list[int]] = {}
+    for i in lists:
+        first, pieces = tiles.get(i, (0, 0))
+        for t in range(first, first + pieces):
+            out.setdefault(t, []).append(i)
+    return out

@@ -112,3 +112,22 @@ def test_registered_recall(spark):
     for name in ("index_recall", "index_recall_filtered"):
         r = registry.QUERIES[name](spark, SF).agg(F.avg("recall"), F.count("*")).first()
         assert r[0] >= 0.9 and r[1] == 20
+
+
+def test_rows_and_queries_are_not_written_in_pairs(spark, tmp_path):
+    from test_answers import most_rows
+
+    x = np.random.default_rng(4).normal(size=(2000, 32))  # without clusters the codes leave most rows open
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>").repartition(4)
+    index = X.built(rows, f"file://{tmp_path}/i", lists=20)
+    queries = rows.where("id % 5 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+    found = X.nearest(spark, index, queries, 5, lists=None, tile=500)
+    assert hits(found) == hits(S.block_top_k(rows, queries, 5))
+    found.collect()
+    assert most_rows(found._jdf.queryExecution().executedPlan()) <= 400 * 7 * 5 < 400 * 2000 / 8
+
+
+def test_tiles_hold_short_lists_together_and_long_ones_in_pieces():
+    tiles = X._tiles({-1: 3, 0: 5, 1: 4, 2: 25, 3: 1, 4: 9}, 10)
+    assert tiles == {-1: (0, 1), 0: (0, 1), 1: (1, 1), 2: (2, 3), 3: (5, 1), 4: (5, 1)}
+    assert X._tiles_of([0, 2, 9], tiles) == {0: [0], 2: [2], 3: [2], 4: [2]}
