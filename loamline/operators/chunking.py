@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from ..session import sliced
+
 SIZE, OVERLAP = 800, 100
 SEPARATORS = ("\n\n", "\n", ".", "!", "?", " ", "")
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9])"
@@ -158,13 +160,13 @@ _FIELDS = "chunk_index int, total_chunks int, start_index int, section_path stri
 
 
 def _chunked(docs: DataFrame, text_col: str, name: str, split: Callable[[str], list[tuple]] | None, batches: Callable[[], Callable[[list], list]] | None = None) -> DataFrame:
-    """split: the pieces of a text. batches: built once for each task, the pieces of each of some texts."""
+    """split: the pieces of a text. batches: built once for each task, the pieces of each of some texts (those of a frame of `sliced`)."""
     rest = [c for c in docs.columns if c != text_col]
     schema = StructType([*docs.select(*rest).schema.fields, *StructType.fromDDL(_FIELDS).fields])
 
     def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = batches() if batches else lambda texts: [split(t) if isinstance(t, str) else [] for t in texts]
-        for batch in stream:
+        for batch in sliced(stream, text_col):
             found = [[(*p, [""] * 4) if len(p) == 2 else p for p in some] for some in pieces(batch[text_col].tolist())]
             rows = batch[rest].loc[batch.index.repeat([len(f) for f in found])].reset_index(drop=True)
             parts = [(i, len(f), a, " / ".join(t for t in titles if t), *titles, name, text) for f in found for i, (a, text, titles) in enumerate(f)]
@@ -200,7 +202,7 @@ def sentences(text: Column) -> Column:
 
 def semantic_chunks(docs: DataFrame, text_col: str = "content", similar=None, threshold: float = 0.78, least: int = 2, size: int = SIZE, make: Callable[[], Callable] | None = None, at_once: int = 4096) -> DataFrame:
     """Groups of sentences that are alike. make builds an embedder (texts to an array of vectors), once for each task; the sentences of
-    the texts of an Arrow batch are embedded together, `at_once` at a time, each distinct one once. similar is for cosines from
+    the texts of a frame of `sliced` are embedded together, `at_once` at a time, each distinct one once. similar is for cosines from
     elsewhere; without either, groups have `least` sentences."""
     if make is None:
         return _chunked(docs, text_col, "semantic", lambda t: semantic_split(t, similar, threshold, least, size))

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.text import CLIP_MARK, CUT_MARK, clipped, lenient_int, strip
+from ..session import sliced
 
 FILE = ["tenant_id", "file_id"]
 
@@ -82,7 +83,7 @@ def matches(pages: DataFrame, pattern: str, regex: bool = False, case_sensitive:
     schema = StructType([*pages.select(*rest).schema.fields, *StructType.fromDDL(_MATCH).fields])
 
     def run(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in stream:
+        for batch in sliced(stream, "content"):
             hits = [list(found_in(compiled, t, context, radius)) if isinstance(t, str) else [] for t in batch["content"]]
             rows = batch[rest].loc[batch.index.repeat([len(h) for h in hits])].reset_index(drop=True)
             yield pd.concat([rows, pd.DataFrame([x for h in hits for x in h], columns=["line", "match", "snippet", "context", "n_in_page"], index=rows.index)], axis=1)

@@ -7,9 +7,15 @@ import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+#: Characters of text that a task works on at once.
+CHARS = 1 << 18
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -60,3 +66,13 @@ def written(df: DataFrame) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sliced(stream: Iterator[pd.DataFrame], text_col: str, chars: int = CHARS) -> Iterator[pd.DataFrame]:
+    """The rows of Arrow batches in frames of about `chars` characters of text (one row at least), so that what a task makes of a frame does
+    not grow with the rows of a batch."""
+    for batch in stream:
+        sizes = batch[text_col].map(lambda t: 1 + len(t) if isinstance(t, str) else 1).to_numpy()
+        at = (np.cumsum(sizes) - sizes) // chars
+        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(batch)]
+        yield from (batch.iloc[a:b] for a, b in zip(edges, edges[1:]) if a < b)

@@ -86,3 +86,25 @@ def test_numbered(spark):
     got = C.numbered(c, ["file_id"], ["page"]).orderBy("chunk_index").collect()
     assert [(r.chunk_index, r.total_chunks, r.content_length, r.page_number) for r in got] == [(0, 2, 1, 1), (1, 2, 2, 2)]
     assert got[0].id != got[1].id
+
+
+def test_frames_of_a_batch_are_bounded_by_their_text():
+    import pandas as pd
+
+    from loamline.session import sliced
+
+    batch = pd.DataFrame({"n": range(6), "t": ["a" * 30, None, "", "b" * 500, "c" * 60, "d" * 60]})
+    got = [f["n"].tolist() for f in sliced(iter([batch, batch[:0]]), "t", 100)]
+    assert got == [[0, 1, 2, 3], [4, 5]]
+    assert [f["n"].tolist() for f in sliced(iter([batch]), "t", 1)] == [[i] for i in range(6)]
+
+
+def test_sentences_embedded_together_do_not_grow_with_a_batch(spark):
+    class Embedder:
+        def __call__(self, texts):
+            assert len(texts) <= 8000
+            return [[1.0]] * len(texts)
+
+    texts = spark.range(400, numPartitions=1).selectExpr("id AS file_id", "array_join(transform(sequence(1, 40), i -> concat('Sentence ', i, ' of text number ', id, ', which is its own.')), ' ') AS content")
+    found = C.semantic_chunks(texts, make=Embedder, at_once=1 << 30)
+    assert found.select("file_id").distinct().count() == 400
