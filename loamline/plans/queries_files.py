@@ -13,8 +13,8 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')"
 
 
 def _pdfs(spark: SparkSession, sf: str) -> DataFrame:
-    # making and reading a file costs far more than moving a text
-    c = table(spark, sf, "conversations").repartition(spark.sparkContext.defaultParallelism, "conv_id", "turn")
+    # making and reading a file costs far more than moving a text; several tasks a core, so that none is left waiting for the largest
+    c = table(spark, sf, "conversations").repartition(4 * spark.sparkContext.defaultParallelism, "conv_id", "turn")
     return made.pdf_files(c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".pdf"))).alias("path"), "role", "text"))
 
 
